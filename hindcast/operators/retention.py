@@ -6,11 +6,11 @@ reason); dry run and apply use the same one.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from hindcast.functions.timeparse import day_literal, instant, parse_instant
+from hindcast.functions.timeparse import day_literal, instant, micros, parse_instant
 
 PLAN_COLUMNS = ["event_id", "device", "day", "ts", "media_path", "media_bytes", "reason"]
 LEVELS = ["day", "hour", "minute", "second"]
@@ -33,38 +33,36 @@ def by_size(activity: DataFrame, max_bytes: int) -> DataFrame:
     """Everything but the longest newest run of events whose media fits.
 
     The cut is found by refining: bytes per day, then per hour of the day the
-    cap falls in, minute of that hour, second of that minute. Each step sums
-    map-side and orders a handful of rows; only the events of one second are
-    ordered one by one. Older events are then a plain range of ``ts``.
+    cap falls in, minute of that hour, second of that minute. Each step is one
+    small job that sums map-side, orders a handful of rows and returns one;
+    only the events of one second are ordered one by one. What is pruned then
+    is a plain range of ``ts``, so whole days are partition drops.
     """
-    inside, newer = activity, F.lit(0).cast("long")
     if max_bytes < 0:
         raise ValueError("max_bytes is at least 0")
+    inside, start, newer = activity, None, 0
     for level in LEVELS:
-        cell = F.date_trunc(level, "ts").cast(dict(activity.dtypes)["ts"])
         newest = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-        cells = (inside.groupBy(cell.alias("cell"))
-                 .agg(F.coalesce(F.sum("media_bytes"), F.lit(0)).alias("bytes")))
-        cut = (cells.withColumn("upto", newer + F.sum("bytes").over(newest))
+        cut = (inside.groupBy(F.date_trunc(level, "ts").alias("cell"))
+               .agg(F.coalesce(F.sum("media_bytes"), F.lit(0)).alias("bytes"))
+               .withColumn("upto", F.sum("bytes").over(newest) + newer)
                .filter(F.col("upto") > max_bytes)
-               .agg(F.max(F.struct("cell", (F.col("upto") - F.col("bytes")).alias("newer"))).alias("cut"))
-               .scalar())
-        inside = activity.filter(_in_cell(level, cut["cell"]))
-        newer = cut["newer"]
-    start = cut["cell"]
+               .agg(F.max(F.struct(micros("cell").alias("us"), (F.col("upto") - F.col("bytes")).alias("newer"))).alias("c"))
+               .first()["c"])
+        if cut is None:
+            return _plan(activity.filter(F.lit(False)), "size")
+        start, newer = datetime(1970, 1, 1) + timedelta(microseconds=cut["us"]), cut["newer"]
+        inside = _between(activity, start, start + timedelta(**{level + "s": 1}))
     newest = (Window.partitionBy(F.date_trunc("second", "ts"))
               .orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0))
-    boundary = (inside.withColumn("_upto", newer + F.sum(F.coalesce("media_bytes", F.lit(0))).over(newest))
-                .withColumn("_over", F.max(F.when(F.col("_upto") > max_bytes, 1).otherwise(0)).over(newest))
-                .filter(F.col("_over") == 1))
-    older = activity.filter((F.col("ts") < start) & (F.col("day") <= F.to_date(start)))
-    return _plan(older, "size").unionByName(_plan(boundary, "size"))
+    boundary = (inside.withColumn("_upto", F.sum(F.coalesce("media_bytes", F.lit(0))).over(newest) + newer)
+                .filter(F.col("_upto") > max_bytes))
+    return _plan(older_than(activity, start), "size").unionByName(_plan(boundary, "size"))
 
 
-def _in_cell(level: str, start: Column) -> Column:
-    end = start + F.expr(f"INTERVAL '1' {level.upper()}")
-    return ((F.col("ts") >= start) & (F.col("ts") < end)
-            & (F.col("day") >= F.to_date(start)) & (F.col("day") <= F.to_date(start)))
+def _between(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    return (df.filter((F.col("ts") >= instant(df, "ts", start)) & (F.col("ts") < instant(df, "ts", end)))
+            .filter(F.col("day").between(day_literal(start.date()), day_literal(end.date()))))
 
 
 def plan_prune(activity: DataFrame, *, older=None, max_bytes: int | None = None, all: bool = False,

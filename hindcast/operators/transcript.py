@@ -17,7 +17,7 @@ from hindcast.functions.timeparse import from_micros, instant, micros, parse_ins
 from hindcast.operators.filters import DEFAULT_TEXT_CHARS, cap_text, in_time_range
 from hindcast.operators.paging import (INFO_COLUMNS, TURNS_DEFAULT, TURNS_MAX, clamp, cursor_column,
                                        decode_cursor, notice, query_hash)
-from hindcast.plans.slices import numbered, running_max
+from hindcast.plans.slices import running_max
 
 CHUNK = ["device", "chunk_ts"]
 BLEED_SHARE = 0.8
@@ -26,6 +26,8 @@ LOUD = 0.05
 LOUD_SHARE = 0.5
 TURN_GAP_MS = 2_000
 TURN_SLOT_S = 300
+TURNS_PER_SLOT = 1_000_000
+DAY_S = 86_400
 FAR = 1 << 52
 LAST_SEG = (1 << 31) - 1
 LEAN = ["device", "ts", "turn_no", "origin", "text", "confidence", "order_confidence"]
@@ -71,20 +73,18 @@ def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> Dat
     the latest end reaches the microphone segment's start: one running maximum
     per (chunk, term), in time slices. Unknown times count as overlapping.
     """
-    spread = segments.select(
-        *CHUNK, "track", _seg_key().alias("seg_key"),
+    is_mic = F.col("track") == "mic"
+    spread = segments.filter(F.col("track").isin("mic", "system")).select(
+        *CHUNK, is_mic.cast("int").alias("is_mic"), F.when(is_mic, _seg_key()).alias("seg_key"),
         F.coalesce("start_ms", F.lit(-FAR)).alias("a"), F.coalesce("end_ms", F.lit(FAR)).alias("b"),
         F.explode(F.array_distinct(search_terms("text"))).alias("w"))
-    # copies of one segment (system or mic) collapse before anything is ordered
-    heard = (spread.filter(F.col("track") == "system")
-             .groupBy(*CHUNK, "w", (F.col("a") - tol_ms).alias("pos"))
-             .agg(F.max(F.col("b") + tol_ms).alias("reach"))
-             .withColumn("is_mic", F.lit(0)))
-    said = (spread.filter(F.col("track") == "mic")
-            .select(*CHUNK, "w", "seg_key", "a", F.col("b").alias("pos")).distinct()
-            .withColumn("is_mic", F.lit(1)))
-    placed = (heard.unionByName(said, allowMissingColumns=True)
-              .withColumn("slice", F.greatest(F.floor(F.col("pos") / 60_000), F.lit(0))))
+    # One scan and one shuffle; copies of a segment collapse before anything is ordered.
+    placed = (spread.groupBy(
+        *CHUNK, "w", "is_mic", "seg_key",
+        F.when(F.col("is_mic") == 1, F.col("b")).otherwise(F.col("a") - tol_ms).alias("pos"),
+        F.when(F.col("is_mic") == 1, F.col("a")).alias("a"))
+        .agg(F.max(F.when(F.col("is_mic") == 0, F.col("b") + tol_ms)).alias("reach"))
+        .withColumn("slice", F.greatest(F.floor(F.col("pos") / 60_000), F.lit(0))))
     seen = running_max(placed, [*CHUNK, "w"], "slice", ["pos", "is_mic"], "reach", "latest")
     return (seen.filter(F.col("is_mic") == 1)
             .groupBy(*CHUNK, "seg_key")
@@ -93,29 +93,42 @@ def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> Dat
             .withColumn("coverage", F.col("covered") / F.col("terms")))
 
 
-def mic_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
-    """Microphone segments with ``terms``, ``covered`` and ``coverage``."""
-    mic = segments.filter(F.col("track") == "mic").withColumn("seg_key", _seg_key())
-    return (mic.join(bleed_coverage(segments, tol_ms), [*CHUNK, "seg_key"], "left").drop("seg_key")
+def with_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
+    """Segments with ``terms``, ``covered`` and ``coverage``, zero on the machine's track."""
+    return (segments.withColumn("seg_key", _seg_key())
+            .join(bleed_coverage(segments, tol_ms), [*CHUNK, "seg_key"], "left").drop("seg_key")
             .fillna(0, ["terms", "covered"]).fillna(0.0, ["coverage"]))
 
 
+def mic_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
+    return with_coverage(segments, tol_ms).filter(F.col("track") == "mic")
+
+
 def drop_bleed(segments: DataFrame, tau: float = BLEED_SHARE, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
-    """Microphone segments that are not the machine's own speech picked up again."""
-    return mic_coverage(segments, tol_ms).filter(F.col("coverage") < tau)
+    """Segments without the microphone's copies of the machine's own speech."""
+    return with_coverage(segments, tol_ms).filter(F.col("coverage") < tau)
 
 
-def energy_overlap(mic: DataFrame, envelopes: DataFrame, theta: float = LOUD) -> DataFrame:
-    """``mic`` with ``energy_ratio``: share of the segment's span in which the
-    machine's own track was louder than ``theta``. Arrays are sliced, not exploded."""
+def energy_overlap(segments: DataFrame, envelopes: DataFrame, theta: float = LOUD) -> DataFrame:
+    """``energy_ratio``: share of each segment's span in which the machine's own
+    track was louder than ``theta``. Arrays are sliced, not exploded."""
     system = (envelopes.filter(F.col("track") == "system")
               .select(*CHUNK, F.col("step_ms").alias("_step"), F.col("rms").alias("_rms")))
     heard = span(F.col("_rms"), F.col("_step"), F.col("start_ms"), F.col("end_ms"))
-    return (mic.join(system, CHUNK, "left")
+    return (segments.join(system, CHUNK, "left")
             .withColumn("energy_ratio", F.coalesce(share_above(heard, theta), F.lit(0.0)))
             .drop("_step", "_rms"))
 
 
+def untold(segments: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """Machine-track envelopes of chunks without a machine transcript;
+    ``spoken`` says whether the chunk has any segment at all."""
+    chunks = segments.groupBy(*CHUNK).agg(F.max(F.col("track") == "system").alias("told"))
+    return (envelopes.filter(F.col("track") == "system").join(chunks, CHUNK, "left")
+            .filter(~F.coalesce("told", F.lit(False)))
+            .withColumn("spoken", F.col("told").isNotNull()).drop("told"))
+
+
 def label_origin(segments: DataFrame, envelopes: DataFrame | None = None, *, tau: float = BLEED_SHARE,
                  tol_ms: int = BLEED_TOLERANCE_MS, theta: float = LOUD,
                  loud_share: float = LOUD_SHARE) -> DataFrame:
@@ -125,32 +138,24 @@ def label_origin(segments: DataFrame, envelopes: DataFrame | None = None, *, tau
     microphone segment spoken over machine sound cannot be told apart, and a
     chunk with machine sound and no segment at all yields one row without text.
     """
-    shape = [*CHUNK, "track", "seg_no", "start_ms", "end_ms", "text"]
-    internal = (segments.filter(F.col("track") == "system").select(*shape)
-                .withColumns({"origin": F.lit("internal"), "confidence": F.lit(1.0)}))
-    kept = drop_bleed(segments, tau, tol_ms).select(*shape, "coverage")
+    shape = [*CHUNK, "track", "seg_no", "start_ms", "end_ms", "text", "origin", "confidence"]
+    kept = drop_bleed(segments, tau, tol_ms)
     if envelopes is None:
-        labelled = internal.unionByName(kept.select(
-            *shape, F.lit("external").alias("origin"), (1 - F.col("coverage")).alias("confidence")))
+        heard, silent = kept.withColumn("energy_ratio", F.lit(0.0)), None
     else:
-        spoken = segments.groupBy(*CHUNK).agg(F.max(F.col("track") == "system").alias("has_system"))
-        with_system = spoken.filter("has_system")
-        untold = envelopes.filter(F.col("track") == "system").join(with_system, CHUNK, "left_anti")
-        heard = energy_overlap(kept, untold, theta)
-        over = F.col("energy_ratio") >= loud_share
-        external = heard.select(
-            *shape,
-            F.when(over, F.lit("unknown")).otherwise(F.lit("external")).alias("origin"),
-            F.when(over, F.col("energy_ratio")).otherwise(1 - F.col("coverage")).alias("confidence"))
-        wordless = (untold.join(spoken, CHUNK, "left_anti")
-                    .withColumn("confidence", share_above(F.col("rms"), theta))
-                    .filter(F.col("confidence") >= loud_share)
-                    .select(*CHUNK, "track", F.lit(None).cast("int").alias("seg_no"),
-                            F.lit(None).cast("long").alias("start_ms"),
-                            F.lit(None).cast("long").alias("end_ms"),
-                            F.lit(None).cast("string").alias("text"),
-                            F.lit("unknown").alias("origin"), "confidence"))
-        labelled = internal.unionByName(external).unionByName(wordless)
+        quiet = untold(segments, envelopes)
+        heard = energy_overlap(kept, quiet, theta)
+        silent = (quiet.filter(~F.col("spoken"))
+                  .withColumn("confidence", share_above(F.col("rms"), theta))
+                  .filter(F.col("confidence") >= loud_share)
+                  .select(*CHUNK, "track", "confidence", F.lit("unknown").alias("origin")))
+    over = F.col("energy_ratio") >= loud_share
+    labelled = heard.withColumns({
+        "origin": F.when(F.col("track") == "system", "internal").when(over, "unknown").otherwise("external"),
+        "confidence": F.when(F.col("track") == "system", 1.0).when(over, F.col("energy_ratio"))
+        .otherwise(1 - F.col("coverage"))}).select(*shape)
+    if silent is not None:
+        labelled = labelled.unionByName(silent, allowMissingColumns=True)
     return labelled.withColumn(
         "order_confidence",
         F.when(F.col("start_ms").isNotNull(), "exact")
@@ -158,12 +163,14 @@ def label_origin(segments: DataFrame, envelopes: DataFrame | None = None, *, tau
 
 
 def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TURN_SLOT_S) -> DataFrame:
-    """Adjacent segments of one origin joined into turns, numbered per device and day.
+    """Adjacent segments of one origin joined into turns, numbered within device and day.
 
     A turn breaks where origin or order confidence changes, at a gap longer
     than ``gap_ms``, and at each clock slot of ``slot_s``. The slot bounds the
     text one row and one task can gather; slots divide the day, so a turn never
-    crosses midnight.
+    crosses midnight. ``turn_no`` rises through the day as slot and place in the
+    slot, so rows that arrive late renumber nothing outside their slot and no
+    task counts a whole device.
     """
     time_type = dict(labelled.dtypes)["chunk_ts"]
     order = ["at", "chunk_ts", "seg", "track", "said"]
@@ -187,9 +194,9 @@ def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TU
                   F.count(F.lit(1)).alias("segments"),
                   F.array_join(F.transform(spoken, lambda s: s["said"]), " ").alias("text"))
              .withColumn("ts", from_micros(F.col("at"), time_type))
-             .withColumn("day", F.to_date("ts")))
-    return (numbered(turns, ["device", "day"], "slot", ["part"], "turn_no")
-            .select("device", "ts", "day", "turn_no", "origin", "text",
+             .withColumn("day", F.to_date("ts"))
+             .withColumn("turn_no", F.pmod("slot", F.lit(DAY_S // slot_s)) * TURNS_PER_SLOT + F.col("part")))
+    return (turns.select("device", "ts", "day", "turn_no", "origin", "text",
                     F.length("text").alias("text_len"), "segments",
                     F.round("confidence", 6).alias("confidence"), "order_confidence"))
 

@@ -318,7 +318,7 @@ def turns(gap_ms: int) -> dict[str, str]:
               AND at_us - lag(til) OVER w <= {gap_ms * 1000} THEN 0 ELSE 1 END AS fresh
             FROM placed WINDOW w AS (PARTITION BY device, slot ORDER BY at_us, chunk_ts, seg, track, said))""",
         "turns": """SELECT device, make_timestamp(at_us) AS ts, CAST(make_timestamp(at_us) AS DATE) AS day,
-              row_number() OVER (PARTITION BY device, CAST(make_timestamp(at_us) AS DATE) ORDER BY slot, part) AS turn_no,
+              CAST((slot % 288) * 1000000 + part AS BIGINT) AS turn_no,
               origin, text, length(text) AS text_len, segments, round(confidence, 6) AS confidence, order_confidence
             FROM (SELECT device, slot, part, min(at_us) AS at_us, any_value(origin) AS origin, count(*) AS segments,
                     string_agg(said, ' ' ORDER BY at_us, chunk_ts, seg, track, said) AS text,

@@ -344,7 +344,8 @@ def bleed_coverage(spark, d):
 
 @query
 def drop_bleed(spark, d):
-    return T.drop_bleed(V.segments(spark, d)).select("device", "chunk_ts", "seg_no", "start_ms", "text")
+    return (T.drop_bleed(V.segments(spark, d)).filter(F.col("track") == "mic")
+            .select("device", "chunk_ts", "seg_no", "start_ms", "text"))
 
 
 @query
@@ -616,7 +617,7 @@ def stream_index(spark, d):
                     (F.lit("2024-01-01 00:00:00").cast("timestamp")
                      + F.make_dt_interval(secs=F.col("doc_id"))).alias("ts"), "text"))
     folder = shared_dir(spark, "index")
-    running = SI.stream_index(rows, folder, folder + "-checkpoint")
+    running = SI.stream_index(rows, folder, folder + "-checkpoint", buckets=16)
     try:
         if not running.awaitTermination(600):
             raise TimeoutError("index stream did not finish")

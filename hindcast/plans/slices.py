@@ -34,13 +34,3 @@ def running_max(df: DataFrame, keys: list[str], slice_col: str, order: list[str]
             .withColumn(out, F.max(value).over(upto))
             .filter(~F.col(SEED)).drop(SEED))
 
-
-def numbered(df: DataFrame, keys: list[str], slice_col: str, order: list, out: str) -> DataFrame:
-    """``row_number`` within ``keys``, counted slice by slice."""
-    before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    offsets = (df.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("_n"))
-               .select(*keys, slice_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    return (df.withColumn(out, F.row_number().over(inside).cast("long"))
-            .join(offsets, [*keys, slice_col])
-            .withColumn(out, F.col(out) + F.col("_offset")).drop("_offset"))

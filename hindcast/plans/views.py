@@ -70,16 +70,17 @@ def _chunk_of(ident: str):
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: conversation turns as audio segments, with bleed copies on the
     microphone track, untimed chunks and chunks without a machine transcript."""
-    turns = table(spark, sf_dir, "conversations").withColumns(_chunk_of("conv_id")).select(
-        "conv_id", "device", "chunk_ts", "role", "text",
-        F.col("turn").cast("int").alias("seg_no"), (F.col("turn") * SEG_MS).alias("start_ms"))
-    spoken = turns.filter(F.col("role") == "assistant")
-    system = spoken.filter(_rem("conv_id", 7) != 3).withColumn("track", F.lit("system"))
-    mic = turns.filter(F.col("role") == "user").withColumn("track", F.lit("mic"))
-    bleed = (spoken.filter(_rem("conv_id", 3) == 0)
-             .withColumns({"track": F.lit("mic"), "start_ms": F.col("start_ms") + BLEED_SHIFT_MS}))
+    assistant = F.col("role") == "assistant"
+    variants = F.array_compact(F.array(
+        F.when(assistant & (_rem("conv_id", 7) != 3), F.struct(F.lit("system").alias("track"), F.lit(0).alias("shift"))),
+        F.when(F.col("role") == "user", F.struct(F.lit("mic").alias("track"), F.lit(0).alias("shift"))),
+        F.when(assistant & (_rem("conv_id", 3) == 0),
+               F.struct(F.lit("mic").alias("track"), F.lit(BLEED_SHIFT_MS).alias("shift")))))
+    both = (table(spark, sf_dir, "conversations").withColumns(_chunk_of("conv_id"))
+            .select("*", F.explode(variants).alias("v"))
+            .select("conv_id", "device", "chunk_ts", "text", "v.track", F.col("turn").cast("int").alias("seg_no"),
+                    (F.col("turn") * SEG_MS + F.col("v.shift")).alias("start_ms")))
     timed = ~_rem("conv_id", 5).isin(1, 2)
-    both = system.unionByName(mic).unionByName(bleed)
     start = F.when(timed, F.col("start_ms"))
     terms = search_terms("text")
     step = F.floor(F.lit(SEG_LEN_MS) / F.greatest(F.size(terms), F.lit(1)))
@@ -96,15 +97,17 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: files on disk for the V4 form of the events."""
     e = events(spark, sf_dir)
     swapped = target_path(F.col("media_path"))
-    r = _rem("event_id", 20)
-    own = e.filter(~r.isin(7, 16)).select("event_id", F.when(r.isin(3, 8), swapped).otherwise(
-        F.col("media_path")).alias("path"), F.col("media_bytes").alias("length"))
-    other = e.filter(r.isin(5, 12, 7, 16)).select(
-        "event_id", swapped.alias("path"), F.floor(F.col("media_bytes") / 2).alias("length"))
-    extra = e.filter(_rem("event_id", 100) == 1).select(
-        "event_id", F.concat(F.lit("/data/screenshots/x"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("path"),
-        F.lit(500).cast("long").alias("length"))
-    return own.unionByName(other).filter(_rem("event_id", 50) != 0).unionByName(extra).select("path", "length")
+    r, size, present = _rem("event_id", 20), F.col("media_bytes"), _rem("event_id", 50) != 0
+
+    def file(when, path, length):
+        return F.when(when, F.struct(path.alias("path"), length.alias("length")))
+
+    files = F.array_compact(F.array(
+        file(present & ~r.isin(7, 16), F.when(r.isin(3, 8), swapped).otherwise(F.col("media_path")), size),
+        file(present & r.isin(5, 12, 7, 16), swapped, F.floor(size / 2)),
+        file(_rem("event_id", 100) == 1, F.concat(F.lit("/data/screenshots/x"), F.col("event_id").cast("string"),
+                                                  F.lit(".jpg")), F.lit(500).cast("long"))))
+    return e.select(F.explode(files).alias("f")).select("f.*")
 
 
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:

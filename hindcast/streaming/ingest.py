@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from hindcast import schema
-from hindcast.operators.index import build_postings, corpus_stats
+from hindcast.operators.index import BUCKETS, build_postings, corpus_stats
 from hindcast.operators.ingest import KEY, clean_text, clean_titles
 from hindcast.sources.maintain import upsert_events
 from hindcast.sources.tables import laid_out, write_activity
 
-# Fixed value: how long rows may trail their event time, with room for batch arrival.
+# How far rows may trail the newest event time; batch arrival needs room.
 DELAY = "2 days"
 
 
@@ -50,11 +50,12 @@ def stream_activity(stream: DataFrame, table: str, checkpoint: str, delay: str =
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_index(stream: DataFrame, path: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
+def stream_index(stream: DataFrame, path: str, checkpoint: str, delay: str = DELAY,
+                 buckets: int = BUCKETS) -> StreamingQuery:
     """Index each micro-batch under its own ``batch=`` folder, with its share of
     the corpus statistics. A repeated batch overwrites its own folder."""
     def index(batch: DataFrame, batch_id: int) -> None:
-        (laid_out(build_postings(batch), "bucket", "term", "event_id")
+        (laid_out(build_postings(batch, buckets), "bucket", "term", "event_id")
          .write.mode("overwrite").partitionBy("bucket")
          .option("partitionOverwriteMode", "static").parquet(f"{path}/postings/batch={batch_id}"))
         (corpus_stats(batch).write.mode("overwrite")
