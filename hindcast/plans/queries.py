@@ -275,6 +275,16 @@ def fold_across_apps(spark, d):
     return fold.fold_similar(rows).select("event_id", "similar_count", "first_ts", "last_ts")
 
 
+@query
+def fold_near(spark, d):
+    """Documents as screens of one window, near copies merged."""
+    rows = V.docs(spark, d).withColumns({
+        "device": F.lit("m"), "kind": F.lit("screen"), "app": F.col("window"), "window": F.lit("w"),
+        "ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id"))})
+    return (fold.fold_similar(rows, mode="near", threshold=0.8)
+            .select("app", "event_id", "similar_count", "first_ts", "last_ts"))
+
+
 @query
 def fingerprints(spark, d):
     return V.docs(spark, d).select("event_id", fingerprint("text").alias("print"))
