@@ -34,15 +34,32 @@ def fingerprint(text: Column | str) -> Column:
     return F.md5(normalised(text).cast("binary"))
 
 
-def term_position(text: Column | str, term: str) -> Column:
-    """1-based position of the first whole-word occurrence, 0 if none.
+def whole_word(term: str) -> str:
+    """Regex of a term with no letter or digit on either side. A term consists
+    of letters and digits only, so nothing in it needs escaping."""
+    return rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"
+
+
+def term_count(text: Column | str) -> Column:
+    """How many terms a text has, without building them."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
 
-    Every character that is not a letter or digit becomes one blank, which
-    keeps positions, so a padded search finds whole words only.
-    """
+def term_uses(text: Column | str, term: str) -> Column:
+    """How often a term occurs. The regex runs only where a plain search hits."""
+    text = F.col(text) if isinstance(text, str) else text
+    return (F.when(F.contains(F.lower(text), F.lit(term)),
+                   F.regexp_count(F.lower(text), F.lit(whole_word(term)))).otherwise(0))
+
+
+def term_position(text: Column | str, term: str) -> Column:
+    """1-based position of the first whole-word occurrence, 0 if none, counted
+    in characters (regex positions would count UTF-16 units)."""
     text = F.col(text) if isinstance(text, str) else text
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), TERM_BREAK, " "), F.lit(" "))
-    return F.instr(spaced, f" {term} ")
+    upto = F.length(F.regexp_extract(F.lower(text), f"(?s)^(.*?{whole_word(term)})", 1))
+    return (F.when(F.contains(F.lower(text), F.lit(term)) & (upto > 0), upto - len(term) + 1)
+            .otherwise(0))
 
 
 def first_hit(text: Column | str, terms: list[str]) -> Column:

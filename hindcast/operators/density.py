@@ -33,11 +33,12 @@ class OutsideRoot(ValueError):
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """What follows the last dot, lower-cased."""
+    return F.lower(F.substring_index(path, ".", -1))
 
 
 def _with_extension(path: Column, new: Column) -> Column:
-    return F.concat(F.regexp_replace(path, r"\.[^./]+$", "."), new)
+    return F.concat(F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, ".", -1))), new)
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -273,15 +274,13 @@ def adopt(activity: DataFrame, repairs: DataFrame) -> DataFrame:
 
 
 def compress_report(settled: DataFrame) -> DataFrame:
-    """Counters per pass."""
+    """Counters per pass, in one aggregation."""
     replaced = F.col("status") == "replaced"
-    sums = settled.groupBy("pass").agg(
-        F.sum(replaced.cast("long")).alias("files"),
+    return settled.groupBy("pass").agg(
+        F.count_if(replaced).alias("files"),
         F.coalesce(F.sum(F.when(replaced, F.col("bytes"))), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum(F.when(replaced, F.col("new_bytes"))), F.lit(0)).alias("bytes_after"))
-    counts = (settled.groupBy("pass").pivot("status", STATUSES).agg(F.count(F.lit(1)))
-              .fillna(0, STATUSES))
-    return sums.join(counts, "pass").select("pass", "files", "bytes_before", "bytes_after", *STATUSES)
+        F.coalesce(F.sum(F.when(replaced, F.col("new_bytes"))), F.lit(0)).alias("bytes_after"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
 
 
 def reconcile_report(repairs: DataFrame) -> DataFrame:

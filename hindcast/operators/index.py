@@ -9,10 +9,11 @@ is keyed by event.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hindcast.functions.text import search_terms
+from hindcast.functions.text import search_terms, term_count, term_uses
 
 BUCKETS = 256
 K1, B = 1.2, 0.75
@@ -30,12 +31,11 @@ def buckets_of(terms: list[str], buckets: int = BUCKETS) -> list[int]:
 def build_postings(activity: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(term, event_id, tf, dl, bucket), one row per event and distinct term.
 
-    The rows are spread by event first: the count per (event, term) then needs
-    no second shuffle, and one shuffle of text is smaller than one of terms.
+    The text is spread by event first: the count per (event, term) then needs
+    no second shuffle, and a shuffle of text is smaller than one of terms.
     """
-    terms = (activity.select("event_id", search_terms("text").alias("terms"))
-             .filter(F.size("terms") > 0)
-             .repartition("event_id"))
+    terms = (activity.filter(F.length("text") > 0).select("event_id", "text").repartition("event_id")
+             .select("event_id", search_terms("text").alias("terms")))
     return (terms.select("event_id", F.size("terms").cast("long").alias("dl"),
                          F.explode("terms").alias("term"))
             .groupBy("event_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -44,8 +44,7 @@ def build_postings(activity: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def corpus_stats(activity: DataFrame) -> DataFrame:
     """One row: events with text and their total length in terms."""
-    dl = F.size(search_terms("text"))
-    return (activity.select(dl.alias("dl")).filter(F.col("dl") > 0)
+    return (activity.select(term_count("text").cast("long").alias("dl")).filter(F.col("dl") > 0)
             .agg(F.count(F.lit(1)).alias("n_docs"),
                  F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl")))
 
@@ -121,35 +120,33 @@ def rank_by_scan(activity: DataFrame, candidates: DataFrame, terms: list[str],
                  match: str = "any") -> DataFrame:
     """``candidates`` with ``score``, without an index.
 
-    One aggregate pass over the text for the statistics, one narrow pass that
-    counts the terms in each row; nothing is exploded or shuffled.
+    One aggregate pass over the text for the statistics, one narrow pass over
+    the candidates; terms are counted where they stand, nothing is exploded or
+    shuffled.
     """
-    def uses(words: Column, term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == term)).cast("long")
-
-    def counts(words: Column) -> Column:
-        return F.array(*[uses(words, t) for t in terms])
-
-    counted = activity.select(search_terms("text").alias("words")).select(
-        F.size("words").alias("dl"), counts(F.col("words")).alias("tf")).filter(F.col("dl") > 0)
-    stats = counted.agg(
+    counts = F.array(*[term_uses("text", t).cast("long") for t in terms])
+    seen = activity.select(term_count("text").alias("dl"), counts.alias("tf")).filter(F.col("dl") > 0)
+    stats = seen.agg(
         F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avg_dl"),
         *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    stats = stats.select(F.struct("n_docs", "avg_dl", F.array(
+    stats = stats.select(F.struct("avg_dl", F.array(
         *[idf(F.col("n_docs"), F.col(f"df{i}")) for i in range(len(terms))]).alias("idf")).alias("s")).scalar()
 
     matched = F.size(F.filter("tf", lambda x: x > 0))
     enough = matched == len(terms) if match == "all" else matched > 0
-    likely = [F.contains(F.lower("text"), F.lit(t)) for t in terms]
-    first = likely[0]
-    for other in likely[1:]:
-        first = (first & other) if match == "all" else (first | other)
     score = sum((stats["idf"][i] * F.when(F.col("tf")[i] > 0, tf_norm(
         F.col("tf")[i], F.col("dl"), stats["avg_dl"])).otherwise(0.0)
         for i in range(len(terms))), F.lit(0.0))
-    return (candidates.filter(first)
-            .withColumn("_words", search_terms("text"))
-            .withColumns({"tf": counts(F.col("_words")), "dl": F.size("_words")})
-            .filter(enough)
+    return (candidates.filter(_holds(terms, match))
+            .withColumn("tf", counts).filter(enough)
+            .withColumn("dl", term_count("text"))
             .withColumn("score", F.round(score, SCORE_DIGITS))
-            .drop("_words", "tf", "dl"))
+            .drop("tf", "dl"))
+
+
+def _holds(terms: list[str], match: str) -> Column:
+    """Cheap substring test that every match passes."""
+    if match not in ("all", "any"):
+        raise ValueError("match is 'all' or 'any'")
+    tests = [F.contains(F.lower("text"), F.lit(t)) for t in terms]
+    return reduce(Column.__and__ if match == "all" else Column.__or__, tests)
