@@ -76,8 +76,7 @@ class Page:
         ordered = ["score", "ts", "event_id"] if self.ranked else ["ts", "event_id"]
         any_source = self.source.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
         found = self.keys.agg(
-            F.sort_array(F.collect_list(F.struct(*ordered)), asc=False).alias("k"),
-            F.first(any_source).alias("in_source"))
+            F.sort_array(F.collect_list(F.struct(*ordered)), asc=False).alias("k")).withColumn("in_source", any_source)
         shown = F.slice("k", 1, self.limit)
         last = F.try_element_at("shown", F.col("returned"))
         cursor = (F.struct(F.lit(self.query).alias("q"), F.lit(self.offset + self.limit).alias("o"))

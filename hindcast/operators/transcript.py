@@ -234,8 +234,8 @@ class TurnPage:
     def info(self) -> DataFrame:
         any_source = self.source.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
         found = self.keys.agg(
-            F.sort_array(F.collect_list(F.struct("ts", "device", "turn_no")), asc=not self.latest).alias("k"),
-            F.first(any_source).alias("in_source"))
+            F.sort_array(F.collect_list(F.struct("ts", "device", "turn_no")), asc=not self.latest).alias("k")
+        ).withColumn("in_source", any_source)
         rest = F.try_element_at("k", F.lit(self.limit + 1))
         cursor = F.struct(F.lit(self.query).alias("q"), micros(rest["ts"]).alias("ts"),
                           rest["device"].alias("device"), rest["turn_no"].alias("no"))

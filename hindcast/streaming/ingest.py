@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -32,6 +34,17 @@ def once_each(stream: DataFrame, delay: str = DELAY) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(KEY)
 
 
+@contextmanager
+def _kept(batch: DataFrame):
+    """A micro-batch used more than once: without this its stateful plan would
+    run, and count its late rows, once per use."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def stream_activity(stream: DataFrame, table: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
     """Append the stream to the event table. A repeated micro-batch adds nothing,
     because each one is an anti-join append."""
@@ -44,7 +57,8 @@ def stream_activity(stream: DataFrame, table: str, checkpoint: str, delay: str =
                 raise
             write_activity(batch.dropDuplicates(KEY), table)
             return
-        upsert_events(spark, table, batch)
+        with _kept(batch):
+            upsert_events(spark, table, batch)
 
     return (once_each(cleaned(stream), delay).writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -55,11 +69,12 @@ def stream_index(stream: DataFrame, path: str, checkpoint: str, delay: str = DEL
     """Index each micro-batch under its own ``batch=`` folder, with its share of
     the corpus statistics. A repeated batch overwrites its own folder."""
     def index(batch: DataFrame, batch_id: int) -> None:
-        (laid_out(build_postings(batch, buckets), "bucket", "term", "event_id")
-         .write.mode("overwrite").partitionBy("bucket")
-         .option("partitionOverwriteMode", "static").parquet(f"{path}/postings/batch={batch_id}"))
-        (corpus_stats(batch).write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").parquet(f"{path}/stats/batch={batch_id}"))
+        with _kept(batch):
+            (laid_out(build_postings(batch, buckets), "bucket", "term", "event_id")
+             .write.mode("overwrite").partitionBy("bucket")
+             .option("partitionOverwriteMode", "static").parquet(f"{path}/postings/batch={batch_id}"))
+            (corpus_stats(batch).write.mode("overwrite")
+             .option("partitionOverwriteMode", "static").parquet(f"{path}/stats/batch={batch_id}"))
 
     return (once_each(stream, delay).writeStream.foreachBatch(index)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
