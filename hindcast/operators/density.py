@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hindcast.functions.signal import psnr
 from hindcast.functions.timeparse import instant, parse_instant
+from hindcast.operators.retention import orphans
 
 # Original extension -> compressed extension, per medium.
 SCREEN_FORMATS = {"jpg": "heic", "jpeg": "heic"}
@@ -245,8 +246,7 @@ def reconcile(activity: DataFrame, media: DataFrame) -> DataFrame:
     ``adopt``: the row's file is gone and ``path`` is what survives.
     """
     named = activity.filter(F.col("media_path").isNotNull())
-    loose = (media.join(named.select(F.col("media_path").alias("path")), "path", "left_anti")
-             .select("path", "length"))
+    loose = orphans(media, named).select("path", "length")
     present = media.select(F.col("path").alias("media_path"), F.lit(True).alias("_present"))
     stray = (named.select("event_id", "media_path",
                           F.explode(sibling_paths(F.col("media_path"))).alias("path"))

@@ -68,7 +68,7 @@ def get_event(activity: DataFrame, event_id: int) -> DataFrame:
 
 def get_events(activity: DataFrame, ids: DataFrame) -> DataFrame:
     """The events named in ``ids.event_id``. The join strategy follows the ids' measured size."""
-    return activity.join(ids.select("event_id"), "event_id", "left_semi")
+    return activity.join(ids.select("event_id").distinct(), "event_id", "left_semi")
 
 
 def cap_text(df: DataFrame, max_text_chars: int = DEFAULT_TEXT_CHARS) -> DataFrame:

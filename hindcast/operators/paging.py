@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -59,18 +60,32 @@ def after_cursor(df: DataFrame, ts_micros: int, event_id: int) -> DataFrame:
 
 @dataclass
 class Page:
-    """``rows`` is the page. ``keys`` holds one row more, without text, to learn
-    whether more results exist. Both are lazy and at most ``limit + 1`` rows."""
+    """``keys`` are the page's rows without text, and one more to learn whether
+    more results exist. ``rows`` and ``info`` are lazy; :meth:`pin` finds the
+    keys once for both."""
 
-    rows: DataFrame
     keys: DataFrame
     source: DataFrame
+    fetch: Callable[[DataFrame, DataFrame], DataFrame]
     limit: int
     query: str
     ranked: bool = False
     offset: int = 0
     stored_version: int | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """The page, text included."""
+        return self.fetch(self.source, self.keys.limit(self.limit))
+
+    def pin(self) -> Page:
+        """The same page with its keys found: at most ``limit + 1`` rows come to
+        the driver, and text is then read by event id."""
+        found = self.keys.collect()
+        keys = self.keys.sparkSession.createDataFrame(found, self.keys.schema)
+        ids = F.col("event_id").isin([r["event_id"] for r in found])
+        return replace(self, keys=keys, fetch=lambda source, page: self.fetch(source.filter(ids), page))
+
     def info(self) -> DataFrame:
         """One row: returned, has_more, next_cursor, oldest_ts, resume_from, notice."""
         ordered = ["score", "ts", "event_id"] if self.ranked else ["ts", "event_id"]

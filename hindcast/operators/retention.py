@@ -94,8 +94,9 @@ def prune_report(plan: DataFrame, dry_run: bool = True) -> DataFrame:
 
 
 def orphans(media: DataFrame, activity: DataFrame) -> DataFrame:
-    """Files no event names."""
-    named = activity.select(F.col("media_path").alias("path"))
+    """Files no event names. Names are made distinct first, so a file many
+    events name does not fill one task."""
+    named = activity.select(F.col("media_path").alias("path")).distinct()
     return media.join(named, "path", "left_anti")
 
 

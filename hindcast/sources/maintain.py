@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hindcast.operators.density import adopt, guard_root, leftovers, reconcile, repoint
 from hindcast.operators.index import update_postings
 from hindcast.operators.ingest import new_events
-from hindcast.operators.retention import survivors
+from hindcast.operators.retention import orphans, survivors
 from hindcast.operators.transcript import TURN_GAP_MS, turns_of, widen
 from hindcast.session import MIB, shared_dir
 from hindcast.sources.commit import publish, recover, stage
@@ -104,11 +104,10 @@ def apply_prune(spark: SparkSession, table: str, plan: DataFrame, *, postings_pa
         recover(spark, postings_path)
         kept = update_postings(read_postings(spark, postings_path), removed=plan)
         publish(spark, postings_path, stage(kept, postings_path, "bucket", ["term", "event_id"]), whole=True)
-    named = read_activity(spark, table).select(F.col("media_path").alias("path"))
     doomed = plan.filter(F.col("media_path").isNotNull()).select(F.col("media_path").alias("path"))
     if sweep is not None:
         doomed = doomed.unionByName(sweep.select("path"))
-    delete_files(doomed.join(named, "path", "left_anti"))
+    delete_files(orphans(doomed, read_activity(spark, table)))
     return plan
 
 
@@ -130,8 +129,7 @@ def apply_replacements(spark: SparkSession, table: str, settled: DataFrame, root
         _rewrite_days(spark, table, changed, days, [])
     if fail_after == "rows":
         return settled
-    named = read_activity(spark, table).select(F.col("media_path").alias("path"))
-    delete_files(done.select(F.col("media_path").alias("path")).join(named, "path", "left_anti"))
+    delete_files(orphans(done.select(F.col("media_path").alias("path")), read_activity(spark, table)))
     return settled
 
 
