@@ -104,8 +104,9 @@ def rank(postings: DataFrame, terms: list[str], stats: DataFrame, match: str = "
     is bounded by the argument list and broadcast.
     """
     found = hits(postings, terms, buckets)
-    n_docs = stats.select(F.col("n_docs").cast("double")).scalar()
-    total = stats.select(F.col("total_dl").cast("double")).scalar()
+    corpus = stats.select(F.struct(F.col("n_docs").cast("double").alias("n"),
+                                   F.col("total_dl").cast("double").alias("total")).alias("s")).scalar()
+    n_docs, total = corpus["n"], corpus["total"]
     weights = (found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", idf(n_docs, F.col("df")).alias("idf")))
     scored = (found.join(F.broadcast(weights), "term")
