@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hindcast.functions.signal import psnr
 from hindcast.functions.timeparse import instant, parse_instant
-from hindcast.operators.retention import orphans
+from hindcast.operators.retention import EVENT, orphans
 
 # Original extension -> compressed extension, per medium.
 SCREEN_FORMATS = {"jpg": "heic", "jpeg": "heic"}
@@ -210,7 +210,7 @@ def settle(plan: DataFrame, current: DataFrame, verified: DataFrame) -> DataFram
     ``verify_failed``; the rest are ``replaced`` and carry ``new_path`` and
     ``new_bytes``. Originals of all but the last stay untouched.
     """
-    now_named = current.select("event_id", F.col("media_path").alias("_now"))
+    now_named = current.select(*EVENT, F.col("media_path").alias("_now"))
     made = verified.select(F.col("old_path").alias("media_path"), "new_path", "new_bytes", "verified")
     wanted = F.col("status") == "candidate"
     status = (F.when(~wanted, F.col("status"))
@@ -219,7 +219,7 @@ def settle(plan: DataFrame, current: DataFrame, verified: DataFrame) -> DataFram
               .when(~F.col("verified"), "verify_failed")
               .otherwise("replaced"))
     done = F.col("status") == "replaced"
-    return (plan.join(now_named, "event_id", "left").join(made, "media_path", "left")
+    return (plan.join(now_named, EVENT, "left").join(made, "media_path", "left")
             .withColumn("status", status)
             .withColumns({"new_path": F.when(done, F.col("new_path")),
                           "new_bytes": F.when(done, F.col("new_bytes"))})
@@ -229,17 +229,17 @@ def settle(plan: DataFrame, current: DataFrame, verified: DataFrame) -> DataFram
 def repoint(activity: DataFrame, settled: DataFrame) -> DataFrame:
     """Events with replaced media named by their new path and size."""
     made = (settled.filter(F.col("status") == "replaced")
-            .select("event_id", F.col("media_path").alias("_old"), F.col("new_path").alias("_path"),
+            .select(*EVENT, F.col("media_path").alias("_old"), F.col("new_path").alias("_path"),
                     F.col("new_bytes").alias("_bytes")))
     ours = F.col("_old") == F.col("media_path")
-    return (activity.join(made, "event_id", "left")
+    return (activity.join(made, EVENT, "left")
             .withColumns({"media_bytes": F.when(ours, F.col("_bytes")).otherwise(F.col("media_bytes")),
                           "media_path": F.when(ours, F.col("_path")).otherwise(F.col("media_path"))})
             .select(*activity.columns))
 
 
 def reconcile(activity: DataFrame, media: DataFrame) -> DataFrame:
-    """Repairs after an interrupted run: (action, event_id, path, sibling, bytes).
+    """Repairs after an interrupted run: (action, device, event_id, path, sibling, bytes).
 
     Only an unreferenced file whose other-format sibling is named by a row is
     touched. ``remove``: the row's own file is there, so ``path`` is left over.
@@ -248,12 +248,12 @@ def reconcile(activity: DataFrame, media: DataFrame) -> DataFrame:
     named = activity.filter(F.col("media_path").isNotNull())
     loose = orphans(media, named).select("path", "length")
     present = media.select(F.col("path").alias("media_path"), F.lit(True).alias("_present"))
-    stray = (named.select("event_id", "media_path",
+    stray = (named.select(*EVENT, "media_path",
                           F.explode(sibling_paths(F.col("media_path"))).alias("path"))
              .join(loose, "path")
              .join(present, "media_path", "left"))
     action = F.when(F.col("_present"), "remove").otherwise("adopt")
-    return stray.select(action.alias("action"), "event_id", "path", F.col("media_path").alias("sibling"),
+    return stray.select(action.alias("action"), *EVENT, "path", F.col("media_path").alias("sibling"),
                         F.col("length").alias("bytes"))
 
 
@@ -266,8 +266,8 @@ def leftovers(repairs: DataFrame) -> DataFrame:
 def adopt(activity: DataFrame, repairs: DataFrame) -> DataFrame:
     """Events whose original is gone, repointed to the surviving file."""
     kept = (repairs.filter(F.col("action") == "adopt")
-            .groupBy("event_id").agg(F.max_by(F.struct("path", "bytes"), "path").alias("_kept")))
-    return (activity.join(kept, "event_id", "left")
+            .groupBy(*EVENT).agg(F.max_by(F.struct("path", "bytes"), "path").alias("_kept")))
+    return (activity.join(kept, EVENT, "left")
             .withColumns({"media_path": F.coalesce(F.col("_kept.path"), F.col("media_path")),
                           "media_bytes": F.coalesce(F.col("_kept.bytes"), F.col("media_bytes"))})
             .select(*activity.columns))
@@ -287,7 +287,7 @@ def reconcile_report(repairs: DataFrame) -> DataFrame:
     """One row: leftover files and bytes removed, events recovered."""
     gone = leftovers(repairs).agg(F.count(F.lit(1)).alias("removed_files"),
                                   F.coalesce(F.sum("bytes"), F.lit(0)).alias("removed_bytes"))
-    recovered = repairs.filter(F.col("action") == "adopt").agg(F.count_distinct("event_id")).scalar()
+    recovered = repairs.filter(F.col("action") == "adopt").agg(F.count_distinct(*EVENT)).scalar()
     return gone.withColumn("recovered_events", recovered)
 
 

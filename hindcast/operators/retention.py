@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hindcast.functions.timeparse import day_literal, instant, micros, parse_instant
 
 PLAN_COLUMNS = ["event_id", "device", "day", "ts", "media_path", "media_bytes", "reason"]
+EVENT = ["device", "event_id"]
 LEVELS = ["day", "hour", "minute", "second"]
 
 
@@ -107,4 +108,4 @@ def dangling(activity: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def survivors(activity: DataFrame, plan: DataFrame) -> DataFrame:
-    return activity.join(plan.select("event_id"), "event_id", "left_anti").select(*activity.columns)
+    return activity.join(plan.select(*EVENT), EVENT, "left_anti").select(*activity.columns)

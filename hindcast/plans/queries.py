@@ -547,7 +547,7 @@ def repoint(spark, d):
 
 @query
 def reconcile(spark, d):
-    return C.reconcile(V.stored_events(spark, d), V.media(spark, d))
+    return C.reconcile(V.stored_events(spark, d), V.media(spark, d)).drop("device")
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hindcast.operators.density import adopt, guard_root, leftovers, reconcile, repoint
 from hindcast.operators.index import update_postings
 from hindcast.operators.ingest import new_events
-from hindcast.operators.retention import orphans, survivors
+from hindcast.operators.retention import EVENT, orphans, survivors
 from hindcast.operators.transcript import TURN_GAP_MS, turns_of, widen
 from hindcast.session import MIB, shared_dir
 from hindcast.sources.commit import publish, recover, stage
@@ -139,8 +139,8 @@ def apply_reconcile(spark: SparkSession, table: str, root: str) -> DataFrame:
     activity = read_activity(spark, table)
     guard_root(activity, root)
     repairs = _stored(spark, reconcile(activity, media_inventory(spark, root)), "reconcile")
-    adopted = repairs.filter(F.col("action") == "adopt").select("event_id")
-    days = _days(activity.join(adopted, "event_id", "left_semi"))
+    adopted = repairs.filter(F.col("action") == "adopt").select(*EVENT)
+    days = _days(activity.join(adopted, EVENT, "left_semi"))
     if days:
         _rewrite_days(spark, table, adopt(activity.filter(F.col("day").isin(days)), repairs), days, [])
     delete_files(leftovers(repairs))
