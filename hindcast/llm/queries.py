@@ -53,3 +53,10 @@ def op6_best_fit_packing(spark, d):
 
     return (pack_best_fit(events_of(documents(spark, d)), tokenizer("word_bpe_49k.json"))
             .withColumnRenamed("event_id", "doc_id"))
+
+
+@query
+def op10_repeated_passages(spark, d):
+    from hindcast.llm.repeats import remove_repeats
+
+    return remove_repeats(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")
