@@ -60,3 +60,10 @@ def op10_repeated_passages(spark, d):
     from hindcast.llm.repeats import remove_repeats
 
     return remove_repeats(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op4_ngram_jaccard(spark, d):
+    from hindcast.llm.ngram_join import ngram_components
+
+    return ngram_components(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")

@@ -1,7 +1,7 @@
 """Which 64-bit prints occur often, as bit tables of a fixed size.
 
-Prints are cut into hash blocks; a block's prints are counted exactly, and a
-bit is set for each print that reaches a count. The tables' size is a
+Prints are cut into hash blocks by their leading bits; a block's prints are
+counted by their next 32 bits, and a bit is set for each that reaches a count. The tables' size is a
 parameter and does not grow with the input. Where prints share a bit, a rare
 print may pass for a frequent one, never the other way round: users of the
 tables must stay right in that case.
@@ -39,15 +39,17 @@ def frequent_bits(df: DataFrame, prints: Prints, least: list[int], bits: int = B
     """Count the prints that ``prints`` makes of ``df``'s batches.
 
     A block is counted in one task and holds its share of all prints as plain
-    64-bit numbers; the number of blocks follows the shuffle partitions.
+    32-bit numbers; the number of blocks follows the shuffle partitions.
     """
     n_blocks = min(blocks(df.sparkSession), 1 << bits - 6)
-    shift, width = np.uint64(64 - (n_blocks.bit_length() - 1)), (1 << bits) // n_blocks
+    lead = n_blocks.bit_length() - 1
+    width = (1 << bits) // n_blocks
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         found = np.sort(np.concatenate(held))
-        cuts = np.searchsorted(found, (np.arange(n_blocks, dtype=np.uint64) << shift))
+        cuts = np.searchsorted(found, np.arange(n_blocks, dtype=np.uint64) << np.uint64(64 - lead))
         cuts = np.append(cuts, len(found)).tolist()
+        found = (found >> np.uint64(32 - lead)).astype(np.uint32)
         rows = [(b, found[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
                                            pa.array([r[1] for r in rows], pa.binary())], ["block", "prints"])
@@ -65,12 +67,12 @@ def frequent_bits(df: DataFrame, prints: Prints, least: list[int], bits: int = B
 
     def counted(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["block"].iloc[0])
-        found = np.sort(np.concatenate([np.frombuffer(p, np.uint64) for p in group["prints"]]))
+        found = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in group["prints"]]))
         first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
         times = np.diff(np.append(first, len(found)))
         out = []
         for n in least:
-            slots = (found[first[times >= n]] >> np.uint64(64 - bits)) - np.uint64(block * width)
+            slots = found[first[times >= n]] >> np.uint32(32 + lead - bits)
             table = np.zeros(width, np.uint8)
             table[slots] = 1
             out.append(np.packbits(table, bitorder="little").tobytes())
