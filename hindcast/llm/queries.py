@@ -67,3 +67,22 @@ def op4_ngram_jaccard(spark, d):
     from hindcast.llm.ngram_join import ngram_components
 
     return ngram_components(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op3_top_k_search(spark, d):
+    from hindcast.llm.topk import top_envelopes
+
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("event_id"),
+                                                                F.col("embedding").alias("rms"))
+    return top_envelopes(rows, rows.filter("event_id % 50 = 0")).withColumnRenamed("event_id", "vec_id")
+
+
+@query
+def op9_secret_links(spark, d):
+    from hindcast.llm.secret_links import BASE, find_secrets, span_text
+
+    found = find_secrets(events_of(documents(spark, d)))
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+    return found.select(F.col("event_id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+                        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
