@@ -86,3 +86,11 @@ def op9_secret_links(spark, d):
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
     return found.select(F.col("event_id").alias("doc_id"), "n_assign", "n_access", "n_hex",
                         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_line_dedup(spark, d):
+    from hindcast.llm.lines import line_components
+
+    return (line_components(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")
+            .withColumnRenamed("first_event_id", "first_doc_id"))
