@@ -113,6 +113,18 @@ def words(part: Slice) -> Words:
     return Words(span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(starts, part.offsets))
 
 
+# Letters and digits, and every byte of a character beyond ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def plain_words(part: Slice) -> Words:
+    """Hashes of the runs of letters and digits with A-Z lower-cased; punctuation only separates."""
+    data = LOWER[part.data]
+    starts, ends = spans(ALNUM[data], part.offsets)
+    return Words(span_hashes(prefix_hashes(data), starts, ends), np.searchsorted(starts, part.offsets))
+
+
 def word_shingles(found: Words, width: int) -> list[np.ndarray]:
     """Per text the hashes of its word n-grams, with repeats and in order; a
     shorter text is one n-gram as a whole, a text without words has none."""

@@ -94,3 +94,25 @@ def op1_line_dedup(spark, d):
 
     return (line_components(events_of(documents(spark, d))).withColumnRenamed("event_id", "doc_id")
             .withColumnRenamed("first_event_id", "first_doc_id"))
+
+
+def rejections(labels: DataFrame) -> DataFrame:
+    """Labels as (event_id, rejected): low quality and toxic documents are to go."""
+    return labels.select(F.col("doc_id").alias("event_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1))
+                         .alias("rejected"))
+
+
+@query
+def op5_quality_bayes(spark, d):
+    from hindcast.llm.quality import score_quality
+
+    labels = rejections(spark.read.parquet(f"{d}/labels.parquet"))
+    return score_quality(events_of(documents(spark, d)), labels).withColumnRenamed("event_id", "doc_id")
+
+
+@query
+def op8_benchmark_tiling(spark, d):
+    from hindcast.llm.tiling import item_coverage
+
+    return (item_coverage(events_of(documents(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet"))
+            .withColumnRenamed("event_id", "doc_id"))
