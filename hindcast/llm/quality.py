@@ -25,7 +25,8 @@ FIT_EVENTS = 50_000  # labelled events that the weights are fitted on
 MODEL_FEATURES = 1 << 16
 BEGINNING = 5  # bytes of a word's beginning
 LEAST_SHARE, LEAST_EVENTS = 0.003, 4  # of rejected events that have a feature
-LEAST_ODDS, LEAST_Z = 1.0, 3.5
+LEAST_ODDS, LEAST_Z = 2.0, 3.5
+STYLE_WORDS = 8
 
 COUNTS = "feature long, rejected long, accepted long"
 EVIDENCE = "event_id long, app string, window string, evidence double"
@@ -53,21 +54,15 @@ def features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     text, feature = text[order], feature[order]
     first = np.concatenate(([True], (text[1:] != text[:-1]) | (feature[1:] != feature[:-1]))) if len(text) else order
     text, feature = text[first.astype(bool)], feature[first.astype(bool)]
+    # Style: the share of words that repeat the word before them, and the share of capitals.
     words = np.bincount(of, minlength=n_texts)
-    # Style: how often words repeat for the text's length, and the share of capitals.
-    distinct = np.zeros(n_texts, np.int64)
-    word_text, word = texts[0], found[0]
-    order = np.lexsort((word, word_text))
-    changed = np.concatenate(([True], (word_text[order][1:] != word_text[order][:-1])
-                              | (word[order][1:] != word[order][:-1]))) if len(order) else np.zeros(0, bool)
-    np.add.at(distinct, word_text[order][changed], 1)
-    capital = np.add.reduceat(np.append((part.data >= 65) & (part.data <= 90), False).astype(np.int64),
-                              np.minimum(part.offsets[:-1], len(part.data)))
-    sizes = np.diff(part.offsets)
-    some = np.flatnonzero(words > 0)
-    repeat = 10 * distinct[some] // words[some] + 16 * np.log2(words[some]).astype(np.int64)
-    upper = 10 * capital[some] // np.maximum(sizes[some], 1)
-    style = [mix(v.astype(np.uint64) + np.uint64(tag << 32)) for v, tag in ((repeat, 4), (upper, 5))]
+    word = found[0]
+    echo = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1])) + 1
+    capital = np.flatnonzero((part.data >= 65) & (part.data <= 90))
+    capitals = np.bincount(np.searchsorted(part.offsets, capital, side="right") - 1, minlength=n_texts)
+    some = np.flatnonzero(words >= STYLE_WORDS)
+    shares = (np.bincount(of[echo], minlength=n_texts)[some] / words[some], capitals[some] / np.diff(part.offsets)[some])
+    style = [mix((10 * v).astype(np.uint64) + np.uint64(tag << 32)) for v, tag in zip(shares, (4, 5), strict=True)]
     return np.concatenate((text, some, some)), np.concatenate((feature, *style))
 
 
