@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hindcast.llm.grams import Slice, prefix_hashes, slices, window_hashes
+from hindcast.llm.grams import Slice, mix, prefix_hashes, slices, span_hashes, window_hashes
 from hindcast.llm.sketch import FrequentBits, frequent_bits
 from hindcast.llm.stored import Workspace
 
 WIDTH, GRAM = 100, 32
 BLOCK_ROWS = 20_000
+BITS = 27
 
 CONTEXTS = "print long, event_id long, at int, reach int, context binary"
 CUTS = "event_id long, start int, stop int"
@@ -58,37 +60,72 @@ def anchors(part: Slice, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]
     return at, h[at]
 
 
-def anchor_prints(width: int, gram: int):
+def side_prints(part: Slice, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors with what is before and after them, up to half of a
+    passage's other bytes. A passage holds one of the two whole, so an anchor
+    matters only if one of them repeats."""
+    reach = (width - gram) // 2
+    running = prefix_hashes(part.data)
+    text = np.searchsorted(part.offsets, at, side="right") - 1
+    before = np.maximum(at - reach, part.offsets[text])
+    after = np.minimum(at + width - reach, part.offsets[text + 1])
+    return (mix(span_hashes(running, before, at + gram) + np.uint64(1)),
+            mix(span_hashes(running, at, after) + np.uint64(2)))
+
+
+def _prints(width: int, gram: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for part in slices(batch.column(1)):
-                yield anchors(part, width, gram)[1]
+                yield np.concatenate(side_prints(part, anchors(part, width, gram)[0], width, gram))
     return prints
 
 
 def contexts(texts: DataFrame, frequent: FrequentBits, width: int, gram: int) -> DataFrame:
-    """A row for each anchor whose gram occurs again: the bytes that any passage around it can have."""
+    """A row for each anchor that may repeat: the bytes that any passage around it can have.
+
+    Where a context occurs again within a slice, as in texts that say one thing
+    over and over, only the first keeps its bytes; the others are cuts at once
+    (``context`` null, ``reach`` the length, ``print`` spread by text).
+    """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # of fixed size
+    half = (width - gram) // 2
+
+    def rows(prints, ids, at, reach, found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(prints.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(at.astype(np.int32)),
+             pa.array(reach.astype(np.int32)), pa.array(found, pa.binary())],
+            ["print", "event_id", "at", "reach", "context"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in slices(batch.column(1)):
                 at, prints = anchors(part, width, gram)
-                again = shared.value.has(0, prints)
-                at, prints = at[again], prints[again]
+                before, after = (shared.value.has(0, p) for p in side_prints(part, at, width, gram))
+                again = before | after
+                at, prints, before, after = at[again], prints[again], before[again], after[again]
                 if not len(at):
                     continue
                 text = np.searchsorted(part.offsets, at, side="right") - 1
                 begin = part.offsets[text]
-                lo = np.maximum(begin, at - (width - gram))
-                hi = np.minimum(part.offsets[text + 1], at + width)
+                lo = np.maximum(begin, at - np.where(before, width - gram, half))
+                hi = np.minimum(part.offsets[text + 1], at + np.where(after, width, width - half))
+                whole = span_hashes(prefix_hashes(part.data), lo, hi) + (at - lo).astype(np.uint64)
+                order = np.lexsort((at, ids[part.lo + text], whole))
+                same = np.concatenate(([False], whole[order][1:] == whole[order][:-1]))
+                first, later = np.sort(order[~same]), np.sort(order[same])
                 raw = part.data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints.view(np.int64)), pa.array(ids[part.lo + text].astype(np.int64)),
-                     pa.array((at - begin).astype(np.int32)), pa.array((at - lo).astype(np.int32)),
-                     pa.array([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())],
-                    ["print", "event_id", "at", "reach", "context"])
+                yield rows(prints[first], ids[part.lo + text[first]], (at - begin)[first], (at - lo)[first],
+                           [raw[i:j] for i, j in zip(lo[first].tolist(), hi[first].tolist(), strict=True)])
+                if len(later):
+                    joined = np.concatenate(([True], (lo[later][1:] > hi[later][:-1])
+                                             | (text[later][1:] != text[later][:-1])))
+                    head = np.flatnonzero(joined)
+                    ends = np.maximum.reduceat(hi[later], head)
+                    starts, of = lo[later][head], text[later][head]
+                    yield rows(mix(of.astype(np.uint64)), ids[part.lo + of], starts - part.offsets[of], ends - starts,
+                               [None] * len(head))
 
     return texts.mapInArrow(cut, CONTEXTS)
 
@@ -97,8 +134,8 @@ def _sorted_side(prints: np.ndarray, data: np.ndarray, first: np.ndarray, step:
                  most: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by (print, bytes from ``first`` in direction ``step``)
     and each row's common-prefix length with the row before; -1 where the print changes."""
-    cols = np.arange(most)
-    where = first[:, None] + step * cols
+    cols = np.arange(most, dtype=np.int32)
+    where = first.astype(np.int32)[:, None] + np.int32(step) * cols
     inside = cols < lengths[:, None]
     side = np.where(inside, data[np.where(inside, where, 0)], 0).astype(np.uint8)
     order = np.lexsort((lengths, np.ascontiguousarray(side).view(f"S{most}").ravel(), prints))
@@ -123,18 +160,22 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
 
 
 def scan(left: list[int], left_lcp: list[int], right_rank: dict[int, int], right_lcp: list[int],
-         width: int) -> Iterator[tuple[int, int, list[int]]]:
+         width: int, gone: set[int]) -> Iterator[tuple[int, int, list[int]]]:
     """The maximal repeat groups among the occurrences of one anchor, as (reach,
     length from the anchor, occurrences), the longer ones of a reach first.
 
     ``left`` has the occurrences in the order of the left array; ``right_rank``
-    gives an occurrence's place in the right array.
+    gives an occurrence's place in the right array. Those in ``gone``, which
+    may grow meanwhile, are passed over.
     """
     for reach, lo, hi in intervals(left_lcp, 0):
-        child, children = 0, {left[lo]: 0}
-        for i in range(lo + 1, hi + 1):
-            child += left_lcp[i] == reach
-            children[left[i]] = child
+        child, children = 0, {}
+        for i in range(lo, hi + 1):
+            child += i > lo and left_lcp[i] == reach
+            if left[i] not in gone:
+                children[left[i]] = child
+        if len(children) < 2:
+            continue
         rows = sorted(children, key=right_rank.__getitem__)
         ranks = [right_rank[r] for r in rows]
         lcp = [-1, *(min(right_lcp[a + 1:b + 1]) for a, b in zip(ranks, ranks[1:], strict=False))]
@@ -151,8 +192,9 @@ def block_groups(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, reach: np.
                  width: int, gram: int, everything: bool) -> tuple[list, list, list]:
     """Occurrences of maximal repeat groups among whole anchors, as the lists row, reach and length.
 
-    Without ``everything`` an occurrence is given once for each reach, with the
-    longest group in which another one is earlier; that is all that a removal needs.
+    Without ``everything`` an occurrence is given with the longest group of a
+    reach in which another one is earlier, and again for a smaller reach only
+    if that group goes on further; that is all that a removal needs.
     """
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -191,18 +233,17 @@ def block_groups(prints: np.ndarray, ids: np.ndarray, at: np.ndarray, reach: np.
             continue
         members = left_all[lo:hi]
         local = {r: rank_all[r] - lo for r in members}
-        now, done = None, set()
-        for far, length, found in scan(members, lcp_all[lo:hi], local, right_all[lo:hi], width):
+        best: dict[int, int] = {}
+        gone: set[int] = set()
+        for far, length, found in scan(members, lcp_all[lo:hi], local, right_all[lo:hi], width, gone):
             if everything:
                 some = found
             else:
-                if far != now:
-                    now, done = far, set()
-                some = [r for r in found if r not in done]
-                if some:
-                    head = min(found, key=age_all.__getitem__)
-                    some = [r for r in some if r != head]
-                    done.update(some)
+                head = min(found, key=age_all.__getitem__)
+                some = [r for r in found if best.get(r, 0) < length and r != head]
+                best.update(dict.fromkeys(some, length))
+                if length == width:  # what repeats these also repeats the first of them
+                    gone.update(some)
             for r in some:
                 for kept, v in zip(out, (row_all[r], far, length), strict=True):
                     kept.append(v)
@@ -227,6 +268,13 @@ def _by_anchor(rows: DataFrame, width: int, gram: int, everything: bool, schema:
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            bare = pc.is_null(batch.column(4))
+            if not everything and pc.any(bare).as_py():
+                _, ids, at, length, _ = batch.filter(bare).columns
+                yield pa.RecordBatch.from_arrays([ids, at, pc.add(at, length)], ["event_id", "start", "stop"])
+            batch = batch.filter(pc.invert(bare))
+            if not len(batch):
+                continue
             held.append(batch)
             size += len(batch)
             if size >= BLOCK_ROWS:
@@ -247,7 +295,7 @@ def _texts(activity: DataFrame) -> DataFrame:
 
 
 def _contexts(work: Workspace, texts: DataFrame, width: int, gram: int) -> DataFrame:
-    frequent = frequent_bits(texts, anchor_prints(width, gram), [2])
+    frequent = frequent_bits(texts, _prints(width, gram), [2], BITS)
     return contexts(texts, frequent, width, gram)
 
 
@@ -256,7 +304,8 @@ def repeat_groups(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     ``print`` (the anchor), ``reach`` (bytes of the repeat before it), ``length``,
     and the occurrences ``event_id, start``. A repeat is followed for up to
     ``width`` bytes from an anchor; a longer one shows as one group for each
-    anchor in it. Null and short texts have none."""
+    anchor in it. Contexts that a slice of a few hundred texts holds twice count
+    once. Null and short texts have none."""
     work = Workspace(activity.sparkSession, "repeats")
     texts = _texts(activity).filter("event_id is not null and octet_length(text) >= %d" % width)
     return _by_anchor(_contexts(work, texts, width, gram), width, gram, True, GROUPS).distinct()
