@@ -116,3 +116,27 @@ def op8_benchmark_tiling(spark, d):
 
     return (item_coverage(events_of(documents(spark, d)), spark.read.parquet(f"{d}/benchmark.parquet"))
             .withColumnRenamed("event_id", "doc_id"))
+
+
+@query
+def op7_reply_trees(spark, d):
+    from pyspark.sql import Window
+
+    from hindcast.llm.replies import format_reply_trees, read_loss, read_turns
+
+    said = r"\### Assistant: </turn> ok"
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(
+        spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                              "conv_id long, turn long, role string, text string"))
+    # Every row answers the one before it.
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    turns = rows.select(F.col("conv_id").alias("thread"), number.alias("turn_no"), (number - 1).alias("reply_to"),
+                        F.col("role").alias("origin"), "text", F.lit(1.0).alias("confidence"))
+    back = (format_reply_trees(turns, learned="assistant")
+            .select("thread", "formatted", read_turns(F.col("formatted")).alias("turns"),
+                    read_loss(F.col("formatted"), F.col("loss")).alias("learned")))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["origin"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("thread").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(spoken, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
