@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hindcast.llm.components import connected
@@ -30,10 +31,10 @@ from hindcast.llm.sketch import FrequentBits, frequent_bits
 from hindcast.llm.stored import Workspace
 
 WIDTH, PERCENT = 4, 85
-BITS, FREQUENT = 27, 16
+BITS, FREQUENT = 26, 16
 HEADS = (F.min, F.max)
 
-PREFIXES = "id long, n int, prefix array<long>"
+PREFIXES = "id long, n int, partnered int, prefix array<long>"
 
 
 def gram_sets(part: Slice, width: int) -> list[np.ndarray]:
@@ -57,13 +58,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(texts: DataFrame, frequent: FrequentBits, width: int, percent: int) -> DataFrame:
-    """Set size and the n-grams that enter the product, for each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # of fixed size
+def prefixes(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, percent: int) -> DataFrame:
+    """Set size, how many n-grams may occur in other texts, and the n-grams that enter the product, for each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, chosen = [], []
+            sizes, partnered, chosen = [], [], []
             for part in slices(batch.column(1)):
                 sets = gram_sets(part, width)
                 joined = np.concatenate(sets)
@@ -72,7 +72,8 @@ def prefixes(texts: DataFrame, frequent: FrequentBits, width: int, percent: int)
                 for found in sets:
                     n = len(found)
                     here = again[at:at + n]
-                    room = prefix_length(n, percent) - (n - int(here.sum()))
+                    partnered.append(int(here.sum()))
+                    room = prefix_length(n, percent) - (n - partnered[-1])
                     if n and room > 0:
                         frequent_here = often[at:at + n]
                         found = np.concatenate((found[here & ~frequent_here], found[here & frequent_here]))[:room]
@@ -84,8 +85,9 @@ def prefixes(texts: DataFrame, frequent: FrequentBits, width: int, percent: int)
             bounds = np.concatenate(([0], np.cumsum([len(c) for c in chosen]))).astype(np.int32)
             values = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.int64()))], ["id", "n", "prefix"])
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(partnered, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, pa.int64()))],
+                ["id", "n", "partnered", "prefix"])
 
     return texts.mapInArrow(made, PREFIXES)
 
@@ -111,11 +113,31 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             .mapInArrow(check, "a long, b long"))
 
 
-def least_shared(n: Column, m: Column, percent: int) -> Column:
-    """How many of the n-grams that entered the product two texts of n and m must share to link."""
-    overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    rest = F.greatest(F.ceil(F.lit(percent) * n / 100), F.ceil(F.lit(percent) * m / 100)) - 1
-    return overlap - rest
+def _up(numerator: Column, percent: int) -> Column:
+    """``numerator * percent / (100 + percent)``, rounded up."""
+    return F.ceil(F.lit(percent) * numerator / F.lit(100 + percent))
+
+
+def product(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``entries`` (gram, at, id, n, partnered, root) whose
+    sizes and overlap counts let them link across components.
+
+    The smaller text of a pair needs ``2 * percent / (100 + percent)`` of its
+    n-grams in the other one, so only its first n-grams beyond that share meet
+    all the n-grams that the larger one entered.
+    """
+    overlap, sole = _up(F.col("n") + F.col("m"), percent), F.col("n") - F.col("partnered")
+    small = (entries.filter(F.col("at") < F.col("n") - _up(2 * F.col("n"), percent) + 1 - sole)
+             .select("gram", F.col("id").alias("a"), "n", "partnered", "root"))
+    large = entries.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("partnered").alias("partnered_b"),
+                           F.col("root").alias("root_b"))
+    outside = F.greatest(_up(2 * F.col("n"), percent), F.ceil(F.lit(percent) * F.col("m") / 100)) - 1
+    return (small.join(large, "gram")
+            .filter((F.col("root") != F.col("root_b"))
+                    & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+                    & (F.col("n") * 100 >= F.col("m") * percent) & (F.least("partnered", "partnered_b") >= overlap))
+            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+            .filter(F.col("shared") >= overlap - outside).select("a", "b"))
 
 
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -145,9 +167,10 @@ def ngram_components(activity: DataFrame, width: int = WIDTH, percent: int = PER
     copies = work.saved(whole.join(first.filter("n_copies > 1").drop("n_copies"), "whole")
                         .filter("id <> first").select("id", "first"), "copies")
     texts = rows.join(copies.select("id").distinct(), "id", "left_anti")
-    frequent = frequent_bits(texts, _prints(width), [2, FREQUENT], BITS)
-    sized = work.saved(prefixes(texts, frequent, width, percent), "prefixes")
-    entries = sized.select("id", "n", F.explode("prefix").alias("gram"))
+    shared = spark.sparkContext.broadcast(frequent_bits(texts, _prints(width), [2, FREQUENT], BITS))  # of fixed size
+    sized = work.saved(prefixes(texts, shared, width, percent), "prefixes")
+    shared.destroy()
+    entries = sized.select("id", "n", "partnered", F.posexplode("prefix").alias("at", "gram"))
     columns = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("gram")
     members = work.saved(entries.join(columns, "gram", "left_semi"), "entries")
 
@@ -170,16 +193,10 @@ def ngram_components(activity: DataFrame, width: int = WIDTH, percent: int = PER
     open_columns = (labelled.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
                     .filter("r0 <> r1").select("gram"))
     left = work.saved(labelled.join(open_columns, "gram", "left_semi"), "open")
-    right = left.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    product = (left.withColumnRenamed("id", "a").join(right, "gram")
-               .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-                       & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
-               .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-               .filter(F.col("shared") >= least_shared(F.col("n"), F.col("m"), percent)).select("a", "b"))
-    rest = work.saved(verified(product, texts, width, percent), "product")
+    rest = work.saved(verified(product(left, percent), texts, width, percent), "product")
     roots = connected(links.unionByName(rest), work, "roots")
     return (whole.join(copies, "id", "left").withColumn("first", F.coalesce("first", "id"))
-            .join(sized.select(F.col("id").alias("first"), "n"), "first")
+            .join(sized.select(F.col("id").alias("first"), "n").distinct(), "first")
             .join(roots.select(F.col("id").alias("first"), "root"), "first", "left")
             .select(F.col("id").alias("event_id"), F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.coalesce("root", "first")).otherwise(F.col("id")).alias("component_id")))

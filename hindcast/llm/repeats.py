@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hindcast.llm.grams import Slice, mix, prefix_hashes, slices, span_hashes, window_hashes
@@ -29,7 +30,7 @@ from hindcast.llm.stored import Workspace
 
 WIDTH, GRAM = 100, 32
 BLOCK_ROWS = 20_000
-BITS = 27
+BITS = 26
 
 CONTEXTS = "print long, event_id long, at int, reach int, context binary"
 CUTS = "event_id long, start int, stop int"
@@ -81,14 +82,13 @@ def _prints(width: int, gram: int):
     return prints
 
 
-def contexts(texts: DataFrame, frequent: FrequentBits, width: int, gram: int) -> DataFrame:
+def contexts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram: int) -> DataFrame:
     """A row for each anchor that may repeat: the bytes that any passage around it can have.
 
     Where a context occurs again within a slice, as in texts that say one thing
     over and over, only the first keeps its bytes; the others are cuts at once
     (``context`` null, ``reach`` the length, ``print`` spread by text).
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # of fixed size
     half = (width - gram) // 2
 
     def rows(prints, ids, at, reach, found) -> pa.RecordBatch:
@@ -294,9 +294,13 @@ def _texts(activity: DataFrame) -> DataFrame:
     return activity.select(F.col("event_id").cast("long").alias("event_id"), "text")
 
 
-def _contexts(work: Workspace, texts: DataFrame, width: int, gram: int) -> DataFrame:
-    frequent = frequent_bits(texts, _prints(width, gram), [2], BITS)
-    return contexts(texts, frequent, width, gram)
+def _found(work: Workspace, texts: DataFrame, width: int, gram: int, everything: bool) -> DataFrame:
+    """The occurrences, or the cuts, of all anchors of ``texts``, as a written table."""
+    shared = work.spark.sparkContext.broadcast(frequent_bits(texts, _prints(width, gram), [2], BITS))  # of fixed size
+    rows = contexts(texts, shared, width, gram)
+    found = work.saved(_by_anchor(rows, width, gram, everything, GROUPS if everything else CUTS), "found")
+    shared.destroy()
+    return found
 
 
 def repeat_groups(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -308,7 +312,7 @@ def repeat_groups(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     once. Null and short texts have none."""
     work = Workspace(activity.sparkSession, "repeats")
     texts = _texts(activity).filter("event_id is not null and octet_length(text) >= %d" % width)
-    return _by_anchor(_contexts(work, texts, width, gram), width, gram, True, GROUPS).distinct()
+    return _found(work, texts, width, gram, True).distinct()
 
 
 def remove_repeats(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -333,7 +337,7 @@ def remove_repeats(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     copies = work.saved(prints.join(firsts, "whole").filter("event_id <> first").select("event_id").distinct(),
                         "copies")
     alone = long_texts.join(copies, "event_id", "left_anti")
-    cuts = work.saved(_by_anchor(_contexts(work, alone, width, gram), width, gram, False, CUTS), "cuts")
+    cuts = _found(work, alone, width, gram, False)
     spans = (cuts.groupBy("event_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
              .unionByName(copies.select("event_id", F.expr(
                  "array(named_struct('start', 0, 'stop', 2147483647))").alias("cuts"))))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hindcast.llm.grams import BASE, mix, plain_words, slices
@@ -90,10 +91,9 @@ def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int,
     return tiles
 
 
-def _seeds(texts: DataFrame, widths: list[int] | None, frequent=None) -> DataFrame:
+def _seeds(texts: DataFrame, widths: list[int] | None, shared: Broadcast | None = None) -> DataFrame:
     """(id, print, times, n_tokens): the distinct seeds of each text. Without
     ``widths`` a text's own seed is as long as the text where that is shorter."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # of fixed size
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,7 @@ def _seeds(texts: DataFrame, widths: list[int] | None, frequent=None) -> DataFra
             for event_id, tokens in zip(batch.column(0).to_pylist(), tokens_of(batch.column(1)), strict=True):
                 for width in widths or ([min(SEED, len(tokens))] if len(tokens) else []):
                     found = runs(tokens, width)
-                    if shared.value is not None:
+                    if shared is not None:
                         found = found[shared.value.has(0, found)]
                     if len(found):
                         prints, times = np.unique(found, return_counts=True)
@@ -144,11 +144,12 @@ def item_coverage(activity: DataFrame, items: DataFrame, coverage: float = COVER
     # At most SEED widths: all but the longest come from items that are shorter than a seed.
     widths = sorted(r["width"] for r in item_seeds.select(
         F.least("n_tokens", F.lit(SEED)).alias("width")).distinct().collect())
-    frequent = frequent_bits(held_out, _item_prints, [1], BITS)
-    seeds = _seeds(texts, widths or [SEED], frequent).select(F.col("id").alias("event_id"), "print")
+    shared = spark.sparkContext.broadcast(frequent_bits(held_out, _item_prints, [1], BITS))  # of fixed size
+    seeds = _seeds(texts, widths or [SEED], shared).select(F.col("id").alias("event_id"), "print")
     enough = F.sum("times") * F.least(F.max("n_tokens"), F.lit(SEED)) >= F.lit(coverage) * F.max("n_tokens")
     pairs = work.saved(seeds.join(item_seeds, "print").groupBy("event_id", "item_id")
                        .agg(enough.alias("enough")).filter("enough").select("event_id", "item_id"), "pairs")
+    shared.destroy()
     # Few events have any pair; the pairs are broadcast only while they are at most BROADCAST_PAIRS.
     near = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     facing = (texts.withColumnRenamed("id", "event_id").join(near, "event_id")
