@@ -226,6 +226,17 @@ def settle(plan: DataFrame, current: DataFrame, verified: DataFrame) -> DataFram
             .drop("_now", "verified"))
 
 
+def flushed(settled: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``settled`` with ``flush_failed`` where the replacement is not on disk."""
+    there = inventory.select(F.col("path").alias("new_path"), F.lit(True).alias("_there")).distinct()
+    lost = (F.col("status") == "replaced") & F.col("_there").isNull()
+    joined = settled.join(there, "new_path", "left")
+    return joined.withColumns({
+        "status": F.when(lost, "flush_failed").otherwise(F.col("status")),
+        "new_path": F.when(~lost, F.col("new_path")),
+        "new_bytes": F.when(~lost, F.col("new_bytes"))}).select(*settled.columns)
+
+
 def repoint(activity: DataFrame, settled: DataFrame) -> DataFrame:
     """Events with replaced media named by their new path and size."""
     made = (settled.filter(F.col("status") == "replaced")

@@ -9,6 +9,7 @@ from hindcast.plans import queries as q
 
 TERMS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 PRINT = "md5(trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r\\f]+', ' ', 'g')))"
+TOLD = "kind = 'screen' AND length(trim(text)) > 0"  # without text nothing says what a frame showed
 RANGE = "ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-20 16:30:00'"
 CHUNK = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({0} * 10 AS INTEGER))"
 IN_TERMS = ", ".join(f"'{t}'" for t in q.TERMS)
@@ -90,7 +91,7 @@ VIEWS = {
         SELECT * FROM (
           SELECT *, count(*) OVER g AS similar_count, min(ts) OVER g AS first_ts, max(ts) OVER g AS last_ts,
             row_number() OVER (g ORDER BY ts DESC, event_id DESC) AS place
-          FROM (SELECT *, CASE WHEN kind = 'screen' THEN {PRINT} ELSE 'e' || event_id END AS print FROM activity)
+          FROM (SELECT *, CASE WHEN {TOLD} THEN {PRINT} ELSE 'e' || event_id END AS print FROM activity)
           WINDOW g AS (PARTITION BY device, kind, app, "window", print)) WHERE place = 1""",
 }
 
@@ -204,7 +205,7 @@ ORACLES: dict[str, str] = {
                      "events1", "activity", "folded",
                      folded_few=f"""SELECT max(ts) AS ts FROM activity
           WHERE ts >= TIMESTAMP '2024-01-01 23:40:00' AND ts < TIMESTAMP '2024-01-02'
-          GROUP BY device, kind, app, "window", CASE WHEN kind = 'screen' THEN {PRINT} ELSE 'e' || event_id END"""),
+          GROUP BY device, kind, app, "window", CASE WHEN {TOLD} THEN {PRINT} ELSE 'e' || event_id END"""),
     "search_fold": sql("""SELECT device, kind, app, "window", event_id, ts, similar_count, first_ts, last_ts
         FROM folded""", "events1", "activity", "folded"),
     "fold_across_apps": sql(f"""SELECT max(event_id) AS event_id, count(*) AS similar_count,
@@ -248,7 +249,7 @@ PAGE = f"""
       {cut(q.TERMS)} AS text, length(text) AS text_len, coalesce(length(text) > 600, false) AS truncated, score
     FROM (SELECT *, count(*) OVER g AS similar_count, min(ts) OVER g AS first_ts, max(ts) OVER g AS last_ts,
             row_number() OVER (g ORDER BY score DESC, ts DESC, event_id DESC) AS place
-          FROM (SELECT a.*, s.score, CASE WHEN kind = 'screen' THEN {PRINT} ELSE 'e' || a.event_id END AS print
+          FROM (SELECT a.*, s.score, CASE WHEN {TOLD} THEN {PRINT} ELSE 'e' || a.event_id END AS print
                 FROM activity a JOIN scored s USING (event_id) WHERE {RANGE})
           WINDOW g AS (PARTITION BY device, kind, app, "window", print)) WHERE place = 1
     ORDER BY score DESC, ts DESC, event_id DESC LIMIT 40"""
@@ -492,9 +493,17 @@ ORACLES.update({
     "stream_once_each": sql("SELECT event_id, device, ts, app FROM events1", "events1"),
     "stream_index": sql("SELECT * FROM postings", "docs", "docterms", "postings"),
     "stream_track_health": sql("""
-        SELECT device, track, max(ms) AS last_ts, max(ms) + INTERVAL 24 HOUR AS no_signal_at
-        FROM (SELECT *, date_trunc('milliseconds', ts) AS ms FROM events1 WHERE kind = 'audio')
-        GROUP BY device, track
-        HAVING max(ms) + INTERVAL 24 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events1 WHERE kind = 'audio') - INTERVAL 1 HOUR""",
+        SELECT device, track, ts AS last_ts, ts + INTERVAL 24 HOUR AS no_signal_at
+        FROM (SELECT *, lead(ts) OVER (PARTITION BY device, track ORDER BY ts) AS next FROM events1 WHERE kind = 'audio')
+        WHERE coalesce(next >= ts + INTERVAL 24 HOUR, true)
+          AND ts + INTERVAL 24 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM events1 WHERE kind = 'audio')) - INTERVAL 1 HOUR""",
                                "events1"),
+    "stream_activity_late": sql("SELECT event_id, device, ts, app FROM events1", "events1"),
+    "prune_stale_plan": sql("SELECT event_id, device, ts, app FROM events1 WHERE event_id % 2 = 1", "events1"),
+    "settle_flushed": sql("""SELECT event_id, pass, media_path,
+        CASE WHEN status = 'replaced' AND NOT there THEN 'flush_failed' ELSE status END AS status,
+        CASE WHEN status = 'replaced' AND there THEN new_path END AS new_path,
+        CASE WHEN status = 'replaced' AND there THEN new_bytes END AS new_bytes
+        FROM (SELECT *, coalesce(new_path IN (SELECT path FROM media), false) AS there FROM settled)""",
+                          *STORE, *FULL, **SETTLED),
 })

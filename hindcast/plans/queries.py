@@ -12,7 +12,8 @@ from hindcast.operators import (density as C, filters as FL, fold, index, ingest
                                 retention as R, search as Q, transcript as T)
 from hindcast.plans import views as V
 from hindcast.session import configure, shared_dir
-from hindcast.sources import tables
+from hindcast import schema
+from hindcast.sources import maintain, tables
 from hindcast.streaming import ingest as SI, live
 
 NOW = "2024-01-31T00:00:00Z"
@@ -540,6 +541,13 @@ def settle(spark, d):
     return _settled(spark, d).select("event_id", "pass", "media_path", "status", "new_path", "new_bytes")
 
 
+@query
+def settle_flushed(spark, d):
+    """As settled, but only replacements that the media folders hold count."""
+    return (C.flushed(_settled(spark, d), V.media(spark, d))
+            .select("event_id", "pass", "media_path", "status", "new_path", "new_bytes"))
+
+
 @query
 def repoint(spark, d):
     return C.repoint(V.stored_events(spark, d), _settled(spark, d)).select("event_id", "media_path", "media_bytes")
@@ -620,6 +628,42 @@ def stream_sessions(spark, d):
                 "session_start", "session_until")
 
 
+@query
+def stream_activity_late(spark, d):
+    """The event table a stream builds whose files come in reverse order."""
+    rows = V.events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else
+                         F.lit(None).cast(f.dataType).alias(f.name) for f in schema.ACTIVITY.fields))
+    folder = shared_dir(spark, "late")
+    for part in range(3, -1, -1):  # the newest quarter lands first, and each lands in a batch of its own
+        rows.filter(F.floor(F.col("event_id") * 4 / (rows.agg(F.max("event_id") + 1).scalar())) == part).coalesce(
+            1).write.mode("append").parquet(folder + "/landing")
+        running = SI.stream_activity(SI.landing_stream(spark, folder + "/landing", 1), folder + "/table", folder + "/ck")
+        try:
+            if not running.awaitTermination(600):
+                raise TimeoutError("stream did not finish")
+        finally:
+            running.stop()
+    return _ntz(tables.read_activity(spark, folder + "/table").select("event_id", "device", "ts", "app"), "ts")
+
+
+@query
+def prune_stale_plan(spark, d):
+    """What stays when events arrive after a prune was planned: the planned
+    ones go, and their days' newer events stay."""
+    rows = V.events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else
+                         F.lit(None).cast(f.dataType).alias(f.name) for f in schema.ACTIVITY.fields))
+    folder = shared_dir(spark, "stale")
+    table = folder + "/activity"
+    tables.write_activity(rows.filter("event_id % 2 = 0"), table)
+    plan = R.plan_prune(tables.read_activity(spark, table), all=True, confirm=True, dry_run=False)
+    plan.write.parquet(folder + "/plan")
+    tables.write_activity(rows.filter("event_id % 2 = 1"), table)
+    maintain.apply_prune(spark, table, spark.read.parquet(folder + "/plan").withColumn("media_path", F.lit(None).cast("string")))
+    return _ntz(tables.read_activity(spark, table).select("event_id", "device", "ts", "app"), "ts")
+
+
 @query
 def stream_once_each(spark, d):
     """Every event arrives twice and leaves once."""
@@ -647,7 +691,6 @@ def stream_index(spark, d):
 
 @query
 def stream_track_health(spark, d):
-    """Audio tracks per device silent for over a day before the record ends."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    """Every silence of over a day of a device's audio track."""
     rows = _event_stream(spark, d).filter(F.col("kind") == "audio")
     return _ntz(_result(spark, live.track_health(rows, 24 * 3600, "1 hour"), "health"), "last_ts", "no_signal_at")

@@ -9,6 +9,7 @@ directories until the end, and a run that died half-way is rolled forward by
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hindcast.sources.tables import laid_out
 
 MARK = "_PUBLISH"
+STALE_MS = 24 * 3600 * 1000
 
 
 class _Files:
@@ -36,6 +38,9 @@ class _Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(text)))
 
+    def age_ms(self, text: str) -> float:
+        return time.time() * 1000 - self.fs.getFileStatus(self.path(text)).getModificationTime()
+
     def rename(self, old: str, new: str) -> None:
         self.fs.mkdirs(self.path(new).getParent())
         if not self.fs.rename(self.path(old), self.path(new)):
@@ -98,7 +103,8 @@ def _swap(files: _Files, table: str, staged: str, parts: list[str]) -> None:
 
 
 def recover(spark: SparkSession, table: str) -> int:
-    """Finish publishes that died half-way and drop staging that never began.
+    """Finish publishes that died half-way and drop staging that never began
+    and is older than ``STALE_MS``: younger staging may be a running job's.
     Returns how many were finished."""
     files = _Files(spark, table)
     finished = 0
@@ -107,7 +113,7 @@ def recover(spark: SparkSession, table: str) -> int:
         if files.exists(f"{staged}/{MARK}"):
             _swap(files, table, staged, files.read(f"{staged}/{MARK}"))
             finished += 1
-        else:
+        elif files.age_ms(staged) > STALE_MS:
             files.delete(staged)
     if finished:
         spark.catalog.refreshByPath(table)

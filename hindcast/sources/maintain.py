@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hindcast.operators.density import adopt, guard_root, leftovers, reconcile, repoint
+from hindcast.operators.density import adopt, flushed, guard_root, leftovers, reconcile, repoint
 from hindcast.operators.index import update_postings
 from hindcast.operators.ingest import new_events
 from hindcast.operators.retention import EVENT, orphans, survivors
@@ -18,6 +18,7 @@ from hindcast.sources.tables import (day_range, media_inventory, read_activity,
                                      write_activity)
 
 ORDER = ["ts", "event_id"]
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 @contextmanager
@@ -84,25 +85,32 @@ def apply_prune(spark: SparkSession, table: str, plan: DataFrame, *, postings_pa
     """Remove the plan's events, then their files. Returns the stored plan.
 
     Rows go first: a crash leaves files no row names, never a row without its
-    file. Days the plan empties are dropped without being read again. A file a
-    surviving event also names is kept. ``sweep`` is the media inventory to
-    clear of unreferenced files (only for a removal of everything).
-    ``fail_after`` stops after a phase, for crash tests.
+    file. A day is dropped only if none of its stored events survives the
+    plan; events that arrived after the plan was made stay. A file a surviving
+    event also names is kept. ``sweep`` is the media inventory to clear of
+    unreferenced files; only a plan that removes everything may pass one, as
+    files exist before their rows. ``fail_after`` stops after a phase, for
+    crash tests.
     """
     recover(spark, table)
     plan = _stored(spark, plan, "prune")
+    if sweep is not None and not plan.filter(F.coalesce(F.col("reason") != "all", F.lit(True))).isEmpty():
+        raise PermissionError("unreferenced files are swept only when everything is removed")
     activity = read_activity(spark, table)
-    losses = plan.groupBy("day").agg(F.count(F.lit(1)).alias("lost"))
-    per_day = (activity.groupBy("day").agg(F.count(F.lit(1)).alias("events")).join(losses, "day").collect())
-    emptied = sorted(r["day"] for r in per_day if r["events"] == r["lost"])
-    partly = sorted(r["day"] for r in per_day if r["events"] != r["lost"])
-    there = F.col("day").isin(partly)
-    _rewrite_days(spark, table, survivors(activity.filter(there), plan.filter(there)), partly, emptied)
+    gone = plan.select(*EVENT, F.lit(1).alias("_gone")).distinct()
+    per_day = (activity.select("day", *EVENT).join(gone, EVENT, "left").groupBy("day")
+               .agg(F.count("_gone").alias("lost"), F.count_if(F.col("_gone").isNull()).alias("kept"))
+               .filter("lost > 0").collect())
+    partly, emptied = ([r["day"] for r in per_day if (r["kept"] > 0) == some] for some in (True, False))
+    there = F.col("day").isin([d for d in partly if d]) | (F.col("day").isNull() & F.lit(None in partly))
+    staged = stage(survivors(activity.filter(there), plan), table, "day", ORDER)
+    publish(spark, table, staged, [f"day={d.isoformat() if d else NO_DAY}" for d in emptied])
     if fail_after == "rows":
         return plan
     if postings_path:
         recover(spark, postings_path)
-        kept = update_postings(read_postings(spark, postings_path), removed=plan)
+        postings = spark.read.parquet(postings_path)
+        kept = update_postings(postings, removed=plan)
         publish(spark, postings_path, stage(kept, postings_path, "bucket", ["term", "event_id"]), whole=True)
     doomed = plan.filter(F.col("media_path").isNotNull()).select(F.col("media_path").alias("path"))
     if sweep is not None:
@@ -116,12 +124,14 @@ def apply_replacements(spark: SparkSession, table: str, settled: DataFrame, root
     """Repoint verified replacements, then delete their originals.
 
     The opposite order of a prune: the replacement exists and is verified
-    before its row changes, and the original goes last.
+    before its row changes, and the original goes last. A replacement that is
+    not in the media folders when this runs is ``flush_failed``: its row and its
+    original stay. Returns the stored statuses.
     """
     recover(spark, table)
     activity = read_activity(spark, table)
     guard_root(activity, root)
-    settled = _stored(spark, settled, "compress")
+    settled = _stored(spark, flushed(settled, media_inventory(spark, root)), "compress")
     done = settled.filter(F.col("status") == "replaced")
     days = _days(done)
     if days:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from hindcast import schema
-from hindcast.operators.index import BUCKETS, build_postings, corpus_stats
+from hindcast.functions.text import term_count
+from hindcast.operators.index import BUCKETS, build_postings
 from hindcast.operators.ingest import KEY, clean_text, clean_titles
+from hindcast.sources.commit import publish, recover, stage
 from hindcast.sources.maintain import upsert_events
 from hindcast.sources.tables import laid_out, write_activity
 
-# How far rows may trail the newest event time; batch arrival needs room.
+# How far rows may trail the newest event time where a stream keeps state.
 DELAY = "2 days"
 
 
@@ -45,9 +47,12 @@ def _kept(batch: DataFrame):
         batch.unpersist()
 
 
-def stream_activity(stream: DataFrame, table: str, checkpoint: str, delay: str = DELAY) -> StreamingQuery:
-    """Append the stream to the event table. A repeated micro-batch adds nothing,
-    because each one is an anti-join append."""
+def stream_activity(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append the stream to the event table, every event once, however late.
+
+    Each micro-batch is an anti-join append on (device, event_id), so a repeated
+    one adds nothing and no watermark is needed: no row is too late.
+    """
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
@@ -60,33 +65,72 @@ def stream_activity(stream: DataFrame, table: str, checkpoint: str, delay: str =
         with _kept(batch):
             upsert_events(spark, table, batch)
 
-    return (once_each(cleaned(stream), delay).writeStream.foreachBatch(append)
+    return (cleaned(stream).writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_index(stream: DataFrame, path: str, checkpoint: str, delay: str = DELAY,
-                 buckets: int = BUCKETS) -> StreamingQuery:
-    """Index each micro-batch under its own ``batch=`` folder, with its share of
-    the corpus statistics. A repeated batch overwrites its own folder."""
-    def index(batch: DataFrame, batch_id: int) -> None:
-        with _kept(batch):
-            (laid_out(build_postings(batch, buckets), "bucket", "term", "event_id")
-             .write.mode("overwrite").partitionBy("bucket")
-             .option("partitionOverwriteMode", "static").parquet(f"{path}/postings/batch={batch_id}"))
-            (corpus_stats(batch).write.mode("overwrite")
-             .option("partitionOverwriteMode", "static").parquet(f"{path}/stats/batch={batch_id}"))
+def repair_late(spark: SparkSession, landing: str, table: str) -> None:
+    """Put back what a table lacks of a landing folder, such as rows that an
+    earlier stream took for too late. Running it again adds nothing."""
+    rows = cleaned(spark.read.schema(schema.ACTIVITY).parquet(landing))
+    upsert_events(spark, table, rows.dropDuplicates(KEY))
+
 
-    return (once_each(stream, delay).writeStream.foreachBatch(index)
+def stream_index(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Index the events that the index lacks, however late they come.
+
+    A micro-batch writes the folders of its own name: first the postings, then
+    the events it indexed with their lengths. A repeated one overwrites both; an
+    event another batch has indexed is passed over.
+    """
+    def index(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        rows = batch.dropDuplicates(KEY)
+        done = _events(spark, path)
+        if done is not None:
+            rows = rows.join(done.filter(F.col("batch") != name).select(*KEY), KEY, "left_anti")
+        with _kept(rows):
+            _write(laid_out(build_postings(rows, buckets), "bucket", "term", "event_id"), f"{path}/postings", name)
+            _write(rows.select(*KEY, term_count("text").cast("long").alias("dl")), f"{path}/events", name)
+
+    return (stream.writeStream.foreachBatch(index)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def _write(df: DataFrame, folder: str, name: str) -> None:
+    """One batch's share of a table; ``bucket`` stays a column, as files are sorted by it."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{folder}/batch={name}")
+
+
+def _events(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("event_id long, device string, dl long, batch string").parquet(f"{path}/events")
+    except Exception as error:  # nothing indexed yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
+def prune_index(spark: SparkSession, path: str, plan: DataFrame) -> None:
+    """Take a prune's events out of a streamed index; batches go on afterwards."""
+    for table, order in (("events", list(KEY)), ("postings", ["bucket", "term", "event_id"])):
+        folder = f"{path}/{table}"
+        recover(spark, folder)
+        rows = spark.read.parquet(folder)
+        keys = [k for k in KEY if k in rows.columns]
+        kept = rows.join(plan.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
+        publish(spark, folder, stage(kept, folder, "batch", order), whole=True)
+
+
 def stream_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/postings").drop("batch")
 
 
 def stream_stats(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.parquet(f"{path}/stats")
-            .agg(F.sum("n_docs").alias("n_docs"), F.sum("total_dl").alias("total_dl")))
+    """Corpus statistics of the streamed index, from its narrow table of events."""
+    return (_events(spark, path).filter("dl > 0")
+            .agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl")))
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
-HEALTH_SCHEMA = "device string, track string, last_ts timestamp, no_signal_at timestamp"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def levels(envelopes: DataFrame, window: str = "10 seconds", delay: str | None = None) -> DataFrame:
     """Peak and mean loudness per track and window; the same for batch and stream."""
@@ -26,12 +22,11 @@ def levels(envelopes: DataFrame, window: str = "10 seconds", delay: str | None =
 
 
 def live_displays(stream: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Displays delivering per device and window. Streams have no exact distinct
-    count, so frames are first made unique per (device, display, window), then counted
-    approximately."""
+    """Displays delivering per device and window, exactly: the set that is kept
+    holds a device's displays, of which there are few."""
     return (stream.filter(F.col("display_id").isNotNull()).withWatermark("ts", delay)
             .groupBy(F.window("ts", window).alias("w"), "device")
-            .agg(F.approx_count_distinct("display_id", 0.01).alias("displays"))
+            .agg(F.size(F.collect_set("display_id")).cast("long").alias("displays"))
             .select(F.col("w.start").alias("window_start"), "device", "displays"))
 
 
@@ -48,43 +43,19 @@ def track_health(stream: DataFrame, gap_s: int = 60, delay: str = "1 minute",
                  expected: DataFrame | None = None) -> DataFrame:
     """One ``no_signal`` row per silence of a track longer than ``gap_s``.
 
-    ``stream`` has (device, track, ts). The timer is in event time: it fires as
-    other tracks move the watermark on. ``expected`` (device, track, ts) adds
-    first rows for tracks that may never deliver. Needs the RocksDB state store.
+    ``stream`` has (device, track, ts). A run of signals no further apart than
+    the gap is a session; each session that ends is one silence, whichever
+    batches its rows came in. In append mode a session ends as other tracks
+    move the watermark on. ``expected`` (device, track, ts) adds first rows for
+    tracks that may never deliver.
     """
-    class Silence(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.last = handle.getValueState("last", "ms bigint")
-
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-            newest = max(int(pdf["ts"].max().timestamp() * 1000) for pdf in rows)
-            known = self.last.get()[0] if self.last.exists() else None
-            if known is None or newest > known:
-                if known is not None:
-                    self.handle.deleteTimer(known + gap_s * 1000)
-                self.last.update((newest,))
-                self.handle.registerTimer(newest + gap_s * 1000)
-            yield pd.DataFrame()
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import pandas as pd
-            last = self.last.get()[0]
-            yield pd.DataFrame({
-                "device": [key[0]], "track": [key[1]],
-                "last_ts": [pd.Timestamp(last, unit="ms")],
-                "no_signal_at": [pd.Timestamp(last + gap_s * 1000, unit="ms")]})
-
-        def close(self) -> None:
-            pass
-
     rows = stream.select("device", "track", "ts")
     if expected is not None:
         rows = rows.unionByName(expected.select("device", "track", "ts"))
-    return (rows.withWatermark("ts", delay).groupBy("device", "track")
-            .transformWithStateInPandas(statefulProcessor=Silence(), outputStructType=HEALTH_SCHEMA,
-                                        outputMode="Append", timeMode="EventTime"))
+    return (rows.withWatermark("ts", delay)
+            .groupBy(F.session_window("ts", f"{gap_s} seconds").alias("w"), "device", "track")
+            .agg(F.max("ts").alias("last_ts"))
+            .select("device", "track", "last_ts", F.col("w.end").alias("no_signal_at")))
 
 
 def run_to_folder(df: DataFrame, folder: str, mode: str = "append", timeout_s: int = 600) -> StreamingQuery:

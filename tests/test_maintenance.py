@@ -87,6 +87,22 @@ def test_a_prune_that_dies_leaves_orphans_not_dangling_rows(spark, store):
     assert media_inventory(spark, root).count() == 0
 
 
+def test_a_stale_plan_takes_only_what_it_names(spark, store):
+    root, table = store
+    rows = read_activity(spark, table)
+    first = rows.filter("event_id < 10")
+    plan = M._stored(spark, R.plan_prune(first, all=True, confirm=True, dry_run=False), "stale")
+    M.apply_prune(spark, table, plan)
+    assert ids(read_activity(spark, table)) == list(range(10, 200))
+
+
+def test_a_sweep_needs_a_removal_of_everything(spark, store):
+    root, table = store
+    with pytest.raises(PermissionError):
+        M.apply_prune(spark, table, R.plan_prune(read_activity(spark, table), max_bytes=1000),
+                      sweep=media_inventory(spark, root))
+
+
 def test_a_publish_that_dies_is_rolled_forward(spark, store):
     _, table = store
     rows = read_activity(spark, table)
