@@ -17,7 +17,7 @@ from hindcast.functions.timeparse import from_micros, instant, micros, parse_ins
 from hindcast.operators.filters import DEFAULT_TEXT_CHARS, cap_text, in_time_range
 from hindcast.operators.paging import (INFO_COLUMNS, TURNS_DEFAULT, TURNS_MAX, clamp, cursor_column,
                                        decode_cursor, notice, query_hash)
-from hindcast.plans.slices import running_max
+from hindcast.plans.slices import SEED, running_max
 
 CHUNK = ["device", "chunk_ts"]
 BLEED_SHARE = 0.8
@@ -26,8 +26,7 @@ LOUD = 0.05
 LOUD_SHARE = 0.5
 TURN_GAP_MS = 2_000
 TURN_SLOT_S = 300
-TURNS_PER_SLOT = 1_000_000
-DAY_S = 86_400
+TURN_REACH = timedelta(hours=6)
 FAR = 1 << 52
 LAST_SEG = (1 << 31) - 1
 LEAN = ["device", "ts", "turn_no", "origin", "text", "confidence", "order_confidence"]
@@ -64,21 +63,35 @@ def _seg_key() -> Column:
     return F.xxhash64("track", "seg_no", "start_ms", "end_ms", "text")
 
 
-def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
-    """Per microphone segment: its distinct terms, and how many of them occur in
-    a system segment of the chunk that overlaps it within ``tol_ms``.
+def _spoken(segments: DataFrame) -> Column:
+    """Terms with the time in which they were said."""
+    whole = F.transform(F.array_distinct(search_terms("text")), lambda w: F.struct(
+        w.alias("w"), F.col("start_ms").alias("start_ms"), F.col("end_ms").alias("end_ms")))
+    if "words" not in segments.columns:
+        return whole
+    timed = F.transform("words", lambda x: F.struct(
+        F.lower(x["w"]).alias("w"), F.coalesce(x["start_ms"], F.col("start_ms")).alias("start_ms"),
+        F.coalesce(x["end_ms"], F.col("end_ms")).alias("end_ms")))
+    return F.when(F.size("words") > 0, timed).otherwise(whole)
+
 
-    No pair of segments is formed. A term is covered when, among system
-    segments holding it that start no later than the microphone segment ends,
-    the latest end reaches the microphone segment's start: one running maximum
-    per (chunk, term), in time slices. Unknown times count as overlapping.
+def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> DataFrame:
+    """Per microphone segment: its distinct terms, and how many of them the
+    machine's track says at the same time, within ``tol_ms``, by word timings.
+
+    No pair of segments is formed. A word is covered when, among the machine's
+    words of that term that start no later than it ends, the latest end reaches
+    its start: one running maximum per (chunk, term), in time slices. A term is
+    covered if one of its words is. Segments without word timings count as said
+    throughout; unknown times count as overlapping.
     """
     is_mic = F.col("track") == "mic"
-    spread = segments.filter(F.col("track").isin("mic", "system")).select(
+    spread = (segments.filter(F.col("track").isin("mic", "system")).select(
         *CHUNK, is_mic.cast("int").alias("is_mic"), F.when(is_mic, _seg_key()).alias("seg_key"),
-        F.coalesce("start_ms", F.lit(-FAR)).alias("a"), F.coalesce("end_ms", F.lit(FAR)).alias("b"),
-        F.explode(F.array_distinct(search_terms("text"))).alias("w"))
-    # One scan and one shuffle; copies of a segment collapse before anything is ordered.
+        F.explode(_spoken(segments)).alias("s"))
+        .select(*CHUNK, "is_mic", "seg_key", F.col("s.w").alias("w"),
+                F.coalesce("s.start_ms", F.lit(-FAR)).alias("a"), F.coalesce("s.end_ms", F.lit(FAR)).alias("b")))
+    # One scan and one shuffle; copies of a word collapse before anything is ordered.
     placed = (spread.groupBy(
         *CHUNK, "w", "is_mic", "seg_key",
         F.when(F.col("is_mic") == 1, F.col("b")).otherwise(F.col("a") - tol_ms).alias("pos"),
@@ -87,9 +100,10 @@ def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> Dat
         .withColumn("slice", F.greatest(F.floor(F.col("pos") / 60_000), F.lit(0))))
     seen = running_max(placed, [*CHUNK, "w"], "slice", ["pos", "is_mic"], "reach", "latest")
     return (seen.filter(F.col("is_mic") == 1)
+            .groupBy(*CHUNK, "seg_key", "w")
+            .agg(F.max(F.coalesce(F.col("latest") >= F.col("a"), F.lit(False)).cast("long")).alias("found"))
             .groupBy(*CHUNK, "seg_key")
-            .agg(F.count(F.lit(1)).alias("terms"),
-                 F.sum(F.coalesce(F.col("latest") >= F.col("a"), F.lit(False)).cast("long")).alias("covered"))
+            .agg(F.count(F.lit(1)).alias("terms"), F.sum("found").alias("covered"))
             .withColumn("coverage", F.col("covered") / F.col("terms")))
 
 
@@ -163,31 +177,43 @@ def label_origin(segments: DataFrame, envelopes: DataFrame | None = None, *, tau
 
 
 def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TURN_SLOT_S) -> DataFrame:
-    """Adjacent segments of one origin joined into turns, numbered within device and day.
-
-    A turn breaks where origin or order confidence changes, at a gap longer
-    than ``gap_ms``, and at each clock slot of ``slot_s``. The slot bounds the
-    text one row and one task can gather; slots divide the day, so a turn never
-    crosses midnight. ``turn_no`` rises through the day as slot and place in the
-    slot, so rows that arrive late renumber nothing outside their slot and no
-    task counts a whole device.
+    """Adjacent segments of one origin joined into turns.
+
+    A turn breaks where origin or order confidence changes, and at a gap longer
+    than ``gap_ms``. The rows of a device are compared in clock slots of
+    ``slot_s``; each slot begins with the last row before it, so the clock
+    breaks no turn, and no task orders more than one slot of rows or one row
+    per slot. ``turn_no`` tells turns apart that begin at the same time: rows
+    that arrive late renumber nothing else.
     """
     time_type = dict(labelled.dtypes)["chunk_ts"]
     order = ["at", "chunk_ts", "seg", "track", "said"]
+    compared = ["until", "origin", "order_confidence"]
     placed = labelled.withColumns({
         "at": micros("chunk_ts") + F.coalesce("start_ms", F.lit(0)) * 1000,
         "until": micros("chunk_ts") + F.coalesce("end_ms", "start_ms", F.lit(0)) * 1000,
         "seg": F.coalesce("seg_no", F.lit(LAST_SEG)),
         "said": F.coalesce("text", F.lit("")),
     }).withColumn("slot", F.floor(F.col("at") / (slot_s * 1_000_000)))
-    slot = Window.partitionBy("device", "slot").orderBy(*order)
-    fresh = ((F.lag("origin").over(slot) == F.col("origin"))
-             & (F.lag("order_confidence").over(slot) == F.col("order_confidence"))
-             & (F.col("at") - F.lag("until").over(slot) <= gap_ms * 1000))
+    slots = Window.partitionBy("device").orderBy("slot")
+    seeds = (placed.groupBy("device", "slot").agg(F.max(F.struct(*order, *compared)).alias("end"))
+             .withColumn("end", F.lag("end").over(slots)).filter(F.col("end").isNotNull())
+             .select("device", "slot", "end.*", F.lit(True).alias(SEED)))
+    slot = Window.partitionBy("device", "slot").orderBy(F.desc(SEED), *order)
+    same = ((F.lag("origin").over(slot) == F.col("origin"))
+            & (F.lag("order_confidence").over(slot) == F.col("order_confidence"))
+            & (F.col("at") - F.lag("until").over(slot) <= gap_ms * 1000))
+    marked = (placed.withColumn(SEED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+              .withColumn("fresh", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).filter(~F.col(SEED))
+              .withColumn("part", F.sum("fresh").over(Window.partitionBy("device", "slot").orderBy(*order))))
+    before = slots.rowsBetween(Window.unboundedPreceding, -1)
+    begun = (marked.groupBy("device", "slot").agg(F.sum("fresh").alias("n"))
+             .select(F.col("device").alias("_device"), F.col("slot").alias("_slot"),
+                     F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begun")))
+    there = F.col("device").eqNullSafe(F.col("_device")) & (F.col("slot") == F.col("_slot"))
     spoken = F.array_sort(F.collect_list(F.struct(*order)))
-    turns = (placed.withColumn("fresh", F.when(F.coalesce(fresh, F.lit(False)), 0).otherwise(1))
-             .withColumn("part", F.sum("fresh").over(slot))
-             .groupBy("device", "slot", "part")
+    turns = (marked.join(begun, there).withColumn("turn", F.col("begun") + F.col("part"))
+             .groupBy("device", "turn")
              .agg(F.min("at").alias("at"), F.first("origin").alias("origin"),
                   F.first("order_confidence").alias("order_confidence"),
                   F.min("confidence").alias("confidence"),
@@ -195,7 +221,7 @@ def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TU
                   F.array_join(F.transform(spoken, lambda s: s["said"]), " ").alias("text"))
              .withColumn("ts", from_micros(F.col("at"), time_type))
              .withColumn("day", F.to_date("ts"))
-             .withColumn("turn_no", F.pmod("slot", F.lit(DAY_S // slot_s)) * TURNS_PER_SLOT + F.col("part")))
+             .withColumn("turn_no", F.row_number().over(Window.partitionBy("device", "at").orderBy("turn")).cast("long")))
     return (turns.select("device", "ts", "day", "turn_no", "origin", "text",
                     F.length("text").alias("text_len"), "segments",
                     F.round("confidence", 6).alias("confidence"), "order_confidence"))
@@ -207,16 +233,15 @@ def turns_of(segments: DataFrame, envelopes: DataFrame | None = None, gap_ms: in
     return build_turns(label_origin(segments, envelopes, **labels), gap_ms, slot_s)
 
 
-def widen(df: DataFrame, since, until, now: datetime | None, chunk: timedelta,
-          slot_s: int = TURN_SLOT_S) -> DataFrame:
-    """Chunks a range of turns depends on: from the first day's start less one
-    chunk (turn numbers count from midnight) to the end of the last slot."""
+def widen(df: DataFrame, since, until, now: datetime | None, chunk: timedelta) -> DataFrame:
+    """Chunks a range of turns depends on: from one chunk before it, which shows
+    whether its first segment goes on with an earlier turn, to ``TURN_REACH``
+    behind it, where its last turn has ended."""
     since, until = parse_instant(since, now), parse_instant(until, now)
     if since is not None:
-        start = datetime(since.year, since.month, since.day) - chunk
-        df = df.filter(F.col("chunk_ts") >= instant(df, "chunk_ts", start))
+        df = df.filter(F.col("chunk_ts") >= instant(df, "chunk_ts", since - 2 * chunk))
     if until is not None:
-        df = df.filter(F.col("chunk_ts") < instant(df, "chunk_ts", until + timedelta(seconds=slot_s)))
+        df = df.filter(F.col("chunk_ts") < instant(df, "chunk_ts", until + TURN_REACH))
     return df
 
 

@@ -49,8 +49,9 @@ VIEWS = {
           CASE WHEN conv_id % 5 NOT IN (1, 2) THEN s END AS start_ms,
           CASE WHEN conv_id % 5 NOT IN (1, 2) THEN s + 5000 END AS end_ms, text
         FROM (
-          SELECT *, 'system' AS track, start0 AS s FROM turns0 WHERE role = 'assistant' AND conv_id % 7 <> 3
+          SELECT *, 'system' AS track, start0 AS s FROM turns0 WHERE role <> 'user' AND conv_id % 7 <> 3
           UNION ALL SELECT *, 'mic', start0 FROM turns0 WHERE role = 'user'
+            OR (conv_id % 7 = 3 AND NOT (role = 'assistant' AND conv_id % 3 = 0))
           UNION ALL SELECT *, 'mic', start0 + 40 FROM turns0 WHERE role = 'assistant' AND conv_id % 3 = 0)""",
     "envelopes": f"""
         SELECT 'm' || (vec_id % 4) AS device, {CHUNK.format('vec_id')} AS chunk_ts, 'system' AS track,
@@ -262,15 +263,15 @@ ORACLES["search_offset"] = sql(PAGE + " OFFSET 40", "events1", "activity", actte
 FAR = 1 << 52
 SEG_VIEWS = ("turns0", "segments", "envelopes")
 SPOKEN = {
-    "sysw": f"""SELECT DISTINCT device, chunk_ts, coalesce(start_ms, -{FAR}) AS a, coalesce(end_ms, {FAR}) AS b,
-        unnest(list_distinct({TERMS})) AS w FROM segments WHERE track = 'system'""",
-    "micw": f"""SELECT DISTINCT device, chunk_ts, seg_no, start_ms, end_ms, text,
-        unnest(list_distinct({TERMS})) AS w FROM segments WHERE track = 'mic'""",
-    "cover": f"""SELECT device, chunk_ts, seg_no, start_ms, text, count(*) AS terms,
-          sum(CASE WHEN EXISTS (SELECT 1 FROM sysw s WHERE s.device = m.device AND s.chunk_ts = m.chunk_ts AND s.w = m.w
-            AND s.a - 250 <= coalesce(m.end_ms, {FAR}) AND s.b + 250 >= coalesce(m.start_ms, -{FAR}))
-            THEN 1 ELSE 0 END) AS covered
-        FROM micw m GROUP BY ALL""",
+    "timed": f"""SELECT * EXCLUDE (i), terms[i] AS w, coalesce(start_ms + (i - 1) * (5000 // len(terms)), -{FAR}) AS a,
+        coalesce(start_ms + i * (5000 // len(terms)), {FAR}) AS b
+        FROM (SELECT *, unnest(range(1, len(terms) + 1)) AS i FROM (SELECT *, {TERMS} AS terms FROM segments))""",
+    "sysw": "SELECT DISTINCT device, chunk_ts, a, b, w FROM timed WHERE track = 'system'",
+    "micw": """SELECT DISTINCT m.device, m.chunk_ts, m.seg_no, m.start_ms, m.text, m.w, m.a, m.b, EXISTS (
+          SELECT 1 FROM sysw s WHERE s.device = m.device AND s.chunk_ts = m.chunk_ts AND s.w = m.w
+          AND s.a - 250 <= m.b AND s.b + 250 >= m.a) AS said FROM timed m WHERE track = 'mic'""",
+    "cover": """SELECT device, chunk_ts, seg_no, start_ms, text, count(DISTINCT w) AS terms,
+          count(DISTINCT w) FILTER (said) AS covered FROM micw GROUP BY ALL""",
     "mics": """SELECT s.*, coalesce(c.terms, 0) AS terms, CAST(coalesce(c.covered, 0) AS BIGINT) AS covered,
           coalesce(c.covered / c.terms, 0.0) AS coverage
         FROM segments s LEFT JOIN cover c ON c.device = s.device AND c.chunk_ts = s.chunk_ts
@@ -311,20 +312,19 @@ def turns(gap_ms: int) -> dict[str, str]:
         **LABELS,
         "placed": """SELECT *, epoch_us(chunk_ts) + coalesce(start_ms, 0) * 1000 AS at_us,
             epoch_us(chunk_ts) + coalesce(end_ms, start_ms, 0) * 1000 AS til,
-            coalesce(seg_no, 2147483647) AS seg, coalesce(text, '') AS said,
-            (epoch_us(chunk_ts) + coalesce(start_ms, 0) * 1000) // 300000000 AS slot FROM labelled""",
-        "islands": f"""SELECT *, sum(fresh) OVER (PARTITION BY device, slot ORDER BY at_us, chunk_ts, seg, track, said
+            coalesce(seg_no, 2147483647) AS seg, coalesce(text, '') AS said FROM labelled""",
+        "islands": f"""SELECT *, sum(fresh) OVER (PARTITION BY device ORDER BY at_us, chunk_ts, seg, track, said
               ROWS UNBOUNDED PRECEDING) AS part FROM (
             SELECT *, CASE WHEN lag(origin) OVER w = origin AND lag(order_confidence) OVER w = order_confidence
               AND at_us - lag(til) OVER w <= {gap_ms * 1000} THEN 0 ELSE 1 END AS fresh
-            FROM placed WINDOW w AS (PARTITION BY device, slot ORDER BY at_us, chunk_ts, seg, track, said))""",
+            FROM placed WINDOW w AS (PARTITION BY device ORDER BY at_us, chunk_ts, seg, track, said))""",
         "turns": """SELECT device, make_timestamp(at_us) AS ts, CAST(make_timestamp(at_us) AS DATE) AS day,
-              CAST((slot % 288) * 1000000 + part AS BIGINT) AS turn_no,
+              row_number() OVER (PARTITION BY device, at_us ORDER BY part) AS turn_no,
               origin, text, length(text) AS text_len, segments, round(confidence, 6) AS confidence, order_confidence
-            FROM (SELECT device, slot, part, min(at_us) AS at_us, any_value(origin) AS origin, count(*) AS segments,
+            FROM (SELECT device, part, min(at_us) AS at_us, any_value(origin) AS origin, count(*) AS segments,
                     string_agg(said, ' ' ORDER BY at_us, chunk_ts, seg, track, said) AS text,
                     min(confidence) AS confidence, any_value(order_confidence) AS order_confidence
-                  FROM islands GROUP BY device, slot, part)""",
+                  FROM islands GROUP BY device, part)""",
     }
 
 

@@ -78,13 +78,14 @@ def _chunk_of(ident: str):
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: conversation turns as audio segments, with bleed copies on the
-    microphone track, untimed chunks and chunks without a machine transcript."""
-    assistant = F.col("role") == "assistant"
+    microphone track, untimed chunks and chunks without a machine transcript,
+    where what the machine said is heard by the microphone only."""
+    machine, copied = F.col("role") != "user", (F.col("role") == "assistant") & (_rem("conv_id", 3) == 0)
+    told = _rem("conv_id", 7) != 3
     variants = F.array_compact(F.array(
-        F.when(assistant & (_rem("conv_id", 7) != 3), F.struct(F.lit("system").alias("track"), F.lit(0).alias("shift"))),
-        F.when(F.col("role") == "user", F.struct(F.lit("mic").alias("track"), F.lit(0).alias("shift"))),
-        F.when(assistant & (_rem("conv_id", 3) == 0),
-               F.struct(F.lit("mic").alias("track"), F.lit(BLEED_SHIFT_MS).alias("shift")))))
+        F.when(machine & told, F.struct(F.lit("system").alias("track"), F.lit(0).alias("shift"))),
+        F.when(~machine | (~told & ~copied), F.struct(F.lit("mic").alias("track"), F.lit(0).alias("shift"))),
+        F.when(copied, F.struct(F.lit("mic").alias("track"), F.lit(BLEED_SHIFT_MS).alias("shift")))))
     both = (table(spark, sf_dir, "conversations").withColumns(_chunk_of("conv_id"))
             .select("*", F.explode(variants).alias("v"))
             .select("conv_id", "device", "chunk_ts", "text", "v.track", F.col("turn").cast("int").alias("seg_no"),

@@ -83,3 +83,36 @@ def test_a_range_reads_the_same_turns_as_the_whole(spark):
 def test_turns_keep_every_segment(spark):
     labelled = T.label_origin(V.segments(spark, SMALL), V.envelopes(spark, SMALL))
     assert T.build_turns(labelled, 20_000).agg(F.sum("segments")).first()[0] == labelled.count()
+
+
+def test_the_clock_breaks_no_turn(spark):
+    rows = segments(spark, *(("system", i, i * 4_000, i * 4_000 + 3_900, f"word{i}") for i in range(200)))
+    turn = T.build_turns(T.label_origin(rows), 2_000).collect()
+    assert len(turn) == 1 and turn[0]["segments"] == 200
+    assert turn[0]["text"].split() == [f"word{i}" for i in range(200)]
+
+
+def test_turns_at_one_time_are_told_apart(spark):
+    rows = segments(spark, ("system", None, None, None, "a"), ("mic", None, None, None, "b c"), ("mic", 3, 0, 10, "d e"))
+    turns = T.build_turns(T.label_origin(rows)).collect()
+    assert sorted(t["turn_no"] for t in turns) == list(range(1, len(turns) + 1)) and len(turns) == 3
+
+
+def test_words_decide_where_only_some_overlap(spark):
+    def timed(track, *words):
+        return (track, 0, 0, 20_000, " ".join(w for w, _ in words),
+                [(w, at, at + 500, 1.0) for w, at in words])
+    from datetime import datetime
+    shape = SHAPE + ", words array<struct<w string, start_ms long, end_ms long, conf double>>"
+    rows = spark.createDataFrame([("d", datetime(2024, 1, 1), *timed("system", ("one", 0), ("two", 1000), ("three", 2000))),
+                                  ("d", datetime(2024, 1, 1), *timed("mic", ("one", 100), ("two", 1100), ("three", 15_000)))],
+                                 shape)
+    seen = T.mic_coverage(rows).first()
+    assert (seen["terms"], seen["covered"]) == (3, 2)
+    assert T.mic_coverage(rows.drop("words")).first()["covered"] == 3
+
+
+def test_every_conversation_row_is_a_segment(spark):
+    rows = V.table(spark, SMALL, "conversations")
+    assert V.segments(spark, SMALL).select("device", "chunk_ts", "text").distinct().count() == (
+        rows.withColumns(V._chunk_of("conv_id")).select("device", "chunk_ts", "text").distinct().count())
