@@ -6,9 +6,10 @@ product that can hold a link is formed. N-grams are ordered from rare to
 frequent (the frequency classes come from exact counts in hash blocks), and of
 a text only the first ``n - ceil(share * n) + 1`` enter the product: two texts
 that link share one of them. N-grams that occur once are first in that order
-and have no partner, so they use up places without making entries. Overlap
-counts accumulate per pair, and a pair is dropped when its count and the sizes
-show that it cannot reach the share. The pairs left are verified exactly.
+and have no partner, so they use up places without making entries. A pair is
+dropped when the sizes and the place of the n-gram where it meets show that
+the overlap cannot reach the share. For the pairs left the overlap is counted
+in full.
 
 A family of copies would fill a square of the product. Before the product, each
 text is therefore compared with the one text of its columns' heads that it
@@ -32,7 +33,7 @@ from hindcast.llm.stored import Workspace
 
 WIDTH, PERCENT = 4, 85
 BITS, FREQUENT = 26, 16
-HEADS = (F.min, F.max)
+STARS = 2
 
 PREFIXES = "id long, n int, partnered int, prefix array<long>"
 
@@ -120,24 +121,23 @@ def _up(numerator: Column, percent: int) -> Column:
 
 def product(entries: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of ``entries`` (gram, at, id, n, partnered, root) whose
-    sizes and overlap counts let them link across components.
+    sizes and places let them link across components.
 
     The smaller text of a pair needs ``2 * percent / (100 + percent)`` of its
     n-grams in the other one, so only its first n-grams beyond that share meet
-    all the n-grams that the larger one entered.
+    those that the larger one entered. Of the n-grams that a pair shares the
+    first one bounds the overlap by what is left of both texts from there on.
     """
     overlap, sole = _up(F.col("n") + F.col("m"), percent), F.col("n") - F.col("partnered")
-    small = (entries.filter(F.col("at") < F.col("n") - _up(2 * F.col("n"), percent) + 1 - sole)
-             .select("gram", F.col("id").alias("a"), "n", "partnered", "root"))
-    large = entries.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("partnered").alias("partnered_b"),
-                           F.col("root").alias("root_b"))
-    outside = F.greatest(_up(2 * F.col("n"), percent), F.ceil(F.lit(percent) * F.col("m") / 100)) - 1
+    placed = entries.withColumn("rest", F.col("partnered") - F.col("at"))
+    small = (placed.filter(F.col("at") < F.col("n") - _up(2 * F.col("n"), percent) + 1 - sole)
+             .select("gram", F.col("id").alias("a"), "n", "rest", "root"))
+    large = placed.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"),
+                          F.col("root").alias("root_b"))
     return (small.join(large, "gram")
-            .filter((F.col("root") != F.col("root_b"))
-                    & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-                    & (F.col("n") * 100 >= F.col("m") * percent) & (F.least("partnered", "partnered_b") >= overlap))
-            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-            .filter(F.col("shared") >= overlap - outside).select("a", "b"))
+            .filter((F.col("root") != F.col("root_b")) & (F.least("rest", "rest_b") >= overlap)
+                    & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).select("a", "b"))
 
 
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -175,9 +175,11 @@ def ngram_components(activity: DataFrame, width: int = WIDTH, percent: int = PER
     members = work.saved(entries.join(columns, "gram", "left_semi"), "entries")
 
     links, roots = None, None
-    for turn, head in enumerate(HEADS):
+    for turn in range(STARS):
+        # The text whose n-grams others hold most is likeliest to link; then the smallest id.
+        head = F.max(F.struct(F.col("partnered") / F.col("n"), F.col("id")))["id"] if turn == 0 else F.min("id")
         labelled = _labelled(members, roots)
-        heads = (labelled.groupBy("gram").agg(head("id").alias("head"), F.min("root").alias("r0"),
+        heads = (labelled.groupBy("gram").agg(head.alias("head"), F.min("root").alias("r0"),
                                               F.max("root").alias("r1"))
                  .filter("r0 <> r1").select("gram", "head"))
         head_roots = _labelled(heads.select(F.col("head").alias("id")).distinct(), roots).select(
