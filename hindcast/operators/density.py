@@ -106,14 +106,17 @@ def plan_compress(activity: DataFrame, media: DataFrame, *, older_than: str | da
     taken = claims(activity).select(F.col("name").alias("target"), F.lit(True).alias("_taken"))
     files = media.select(F.col("path").alias("media_path"), F.col("length").alias("bytes"))
     done = extension(F.col("media_path")).isin(sorted({*SCREEN_FORMATS.values(), *AUDIO_FORMATS.values()}))
-    status = (F.when((F.col("ts") >= instant(activity, "ts", cutoff)) | ~F.col("pass").isin(chosen), "skipped")
-              .when(done, "already_done")
-              .when(F.col("target").isNull(), "skipped")
+    early = (F.when((F.col("ts") >= instant(activity, "ts", cutoff)) | ~F.col("pass").isin(chosen), "skipped")
+             .when(done, "already_done").when(F.col("target").isNull(), "skipped"))
+    rows = rows.withColumn("early", early)
+    # Rows without a target are most of the table after the first run; only those still open are joined on it.
+    open_rows = rows.filter(F.col("early").isNull()).join(taken, "target", "left")
+    status = (F.when(F.col("early").isNotNull(), F.col("early"))
               .when(F.col("_taken"), "conflicted")
               .when(F.col("bytes").isNull(), "missing_files")
               .otherwise("candidate"))
-    return (rows.join(taken, "target", "left").join(files, "media_path", "left")
-            .withColumn("status", status)
+    return (open_rows.unionByName(rows.filter(F.col("early").isNotNull()), allowMissingColumns=True)
+            .join(files, "media_path", "left").withColumn("status", status)
             .select("event_id", "device", "day", "ts", "pass", "media_path", "target", "bytes", "status"))
 
 

@@ -44,8 +44,8 @@ def dwell(activity: DataFrame, keys: list[str], cap_s: int = DWELL_CAP_S) -> Dat
     A gap longer than the cap counts as the cap, so an event's successor
     matters only within the cap. Devices are therefore cut into slots no
     shorter than the cap: gaps inside a slot come from a window over that slot,
-    and the slot's last event looks only at the next slot's first. No task
-    holds a device's whole history.
+    and the slot's last event looks only at the next slot's first, by an
+    equi-join of slots. No task holds a device's whole history, or all its slots.
     """
     cap = cap_s * SECOND
     width = max(cap, DWELL_CAP_S * SECOND)
@@ -57,14 +57,12 @@ def dwell(activity: DataFrame, keys: list[str], cap_s: int = DWELL_CAP_S) -> Dat
              .groupBy("device", "slot", *keys)
              .agg(F.count(F.lit(1)).alias("events"),
                   F.coalesce(F.sum(F.when(F.col("gap") > cap, cap).otherwise(F.col("gap"))), F.lit(0)).alias("inner_us"),
-                  F.min("at").alias("first_at"),
                   F.max(F.when(F.col("gap").isNull(), F.col("at"))).alias("open_at")))
-    device = Window.partitionBy("device")
-    following = device.orderBy("slot").rangeBetween(1, 1)
-    closed = cells.withColumns({
-        "next_at": F.min("first_at").over(following),
-        "last_slot": F.max("slot").over(device),
-    })
+    firsts = rows.groupBy("device", "slot").agg(F.min("at").alias("next_at"))
+    lasts = firsts.groupBy(F.col("device").alias("_d")).agg(F.max("slot").alias("last_slot"))
+    nexts = firsts.select(F.col("device").alias("_device"), (F.col("slot") - 1).alias("_slot"), "next_at")
+    closed = (cells.join(nexts, F.col("device").eqNullSafe(F.col("_device")) & (F.col("slot") == F.col("_slot")), "left")
+              .join(lasts, F.col("device").eqNullSafe(F.col("_d")), "left"))
     outer = (F.when(F.col("open_at").isNull(), F.lit(0))
              .when(F.col("next_at").isNotNull(), F.least(F.col("next_at") - F.col("open_at"), F.lit(cap)))
              .when(F.col("slot") < F.col("last_slot"), F.lit(cap))

@@ -100,8 +100,11 @@ SHOWN = ('event_id, ts, device, kind, app, "window", similar_count, first_ts, la
          "substring(text, 1, 600) AS text, length(text) AS text_len, coalesce(length(text) > 600, false) AS truncated")
 
 
+KEPT, ONCE = "MATERIALIZED ", ("shingles", "edges")  # read by a recursion, which would run them again each round
+
+
 def sql(body: str, *views: str, **named: str) -> str:
-    parts = [f"{v} AS ({VIEWS[v]})" for v in views] + [f"{n} AS ({t})" for n, t in named.items()]
+    parts = [f"{v} AS ({VIEWS[v]})" for v in views] + [f"{n} AS {KEPT if n in ONCE else ''}({t})" for n, t in named.items()]
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 
@@ -507,3 +510,18 @@ ORACLES.update({
         FROM (SELECT *, coalesce(new_path IN (SELECT path FROM media), false) AS there FROM settled)""",
                           *STORE, *FULL, **SETTLED),
 })
+
+# near fold: components of all pairs of one application that share four of five word triples
+TRIPLES = """list_distinct(list_transform(range(1, greatest(len(terms) - 2, 1) + 1),
+    lambda i: array_to_string(list_slice(terms, i, i + 2), ' ')))"""
+ORACLES["fold_near"] = sql("""
+    SELECT "window" AS app, max(rep) AS event_id, CAST(sum(n) AS BIGINT) AS similar_count,
+      TIMESTAMP '2024-01-01' + to_seconds(min(lo)) AS first_ts, TIMESTAMP '2024-01-01' + to_seconds(max(rep)) AS last_ts
+    FROM reps JOIN roots ON id = rep GROUP BY "window", root""", "docs",
+    reps=f"""SELECT "window", max(event_id) AS rep, min(event_id) AS lo, count(*) AS n, any_value({TERMS}) AS terms
+        FROM docs GROUP BY "window", {PRINT}""",
+    shingles=f'SELECT "window", rep, len(t) AS size, unnest(t) AS s FROM (SELECT *, {TRIPLES} AS t FROM reps)',
+    edges="""SELECT a.rep AS a, b.rep AS b FROM shingles a JOIN shingles b ON a."window" = b."window" AND a.s = b.s AND a.rep <> b.rep
+        GROUP BY a.rep, b.rep HAVING count(*)::DOUBLE / (max(a.size) + max(b.size) - count(*)) >= 0.8::DOUBLE""",
+    roots="""SELECT id, min(root) AS root FROM (WITH RECURSIVE reach(id, root) AS (SELECT rep, rep FROM reps
+        UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id) SELECT * FROM reach) GROUP BY id""")

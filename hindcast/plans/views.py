@@ -22,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text tables of few Parquet row groups scan in few tasks; spread those
-    over the cores. A table with enough input splits is left as it is."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(df.columns[0])
-
-
 def _rem(column: str, n: int):
     return F.col(column) % n
 
@@ -56,7 +48,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: events with the window and text of one document each."""
     docs = table(spark, sf_dir, "documents")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    docs = spread(docs.select("doc_id", "source", "text"))
+    docs = (docs.select("doc_id", "source", "text"))
     return (events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % n_docs)
             .join(docs, "doc_id")
             .withColumn("window", F.when(_rem("event_id", 10) == 0, F.upper("app")).otherwise(F.col("source")))
@@ -66,7 +58,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: documents as a search corpus."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(
+    return (table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(
         F.col("doc_id").alias("event_id"), F.col("source").alias("app"), F.col("lang").alias("window"), "text")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,7 +15,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
@@ -36,14 +34,15 @@ def shuffle_partitions(input_bytes: int, target_bytes: int = 128 * MIB, minimum:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none and runs
-    in local mode, as in tests.
+    The folder is the one that ``spark.checkpoint.dir`` or the context's own
+    checkpoint setting names. Only a local session without either, as in tests,
+    is given one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="hindcast-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="hindcast-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
