@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hindcast.llm.oracles import ORACLES as ORACLES
 from hindcast.llm.stored import bounded_arrow
 from hindcast.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
