@@ -14,7 +14,7 @@ n comparisons, and no verified link between different components is lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hindcast.llm.components import connected
 from hindcast.llm.stored import Workspace
@@ -32,10 +32,11 @@ def lines_of(activity: DataFrame) -> DataFrame:
 
 
 def _normal(lines: DataFrame) -> DataFrame:
-    """Lines that are not blank, as (event_id, line_no, id, normal): compared without case and outer blanks."""
-    normal = F.lower(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")))
-    return (lines.select("event_id", "line_no", normal.alias("normal")).filter(F.length("normal") > 0)
-            .select("event_id", "line_no", F.unhex(F.md5("normal")).alias("id"), "normal"))
+    """Lines as (event_id, line_no, id, normal): compared without case and outer blanks; a blank one has an id of its own."""
+    plain = F.replace(F.replace(F.col("line"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return (lines.select("event_id", "line_no", F.lower(F.trim(plain)).alias("normal"))
+            .select("event_id", "line_no", F.unhex(F.md5(F.when(F.length("normal") > 0, F.col("normal")).otherwise(
+                F.concat_ws("/", F.lit(" "), "event_id", "line_no")))).alias("id"), "normal"))
 
 
 def _hash_at(wide: Column, i: Column) -> Column:
@@ -67,8 +68,10 @@ def bands(lines: DataFrame) -> DataFrame:
 
 
 def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each line; a line shorter than a shingle is one as a whole."""
-    wide = lines.select("id", F.encode("normal", "UTF-16BE").alias("wide"))
+    """(id, shingles): the distinct shingle hashes of each of ``lines`` (id,
+    normal); a line shorter than a shingle is one as a whole. The aggregate hands
+    on the encoded text as it is, where a projection would encode it for every shingle."""
+    wide = lines.groupBy("id").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide"))
     return wide.select("id", F.array_distinct(F.transform(
         _places(F.col("wide")), lambda i: _hash_at(F.col("wide"), i))).alias("shingles"))
 
@@ -83,16 +86,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     """(id, root) of the different lines that lie in a component with others."""
+    normal = normal.filter(F.length("normal") > 0)
     distinct = normal.groupBy("id").agg(F.any_value("normal").alias("normal"))
-    all_bands = work.saved(bands(distinct), "bands")
-    heads = work.saved(all_bands.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-                       .filter("head <> last").select("bucket", "head"), "heads")
-    members = work.saved(all_bands.join(heads, "bucket"), "members")
+    # A bucket holds different lines only, as copies are folded; its sort spills.
+    bucket = Window.partitionBy("bucket")
+    members = work.saved(bands(distinct).withColumns({"n": F.count(F.lit(1)).over(bucket), "head": F.min("id").over(bucket)})
+                         .filter("n > 1").drop("n"), "members")
     ids = work.saved(members.select("id").distinct(), "ids")
     # Few lines have candidates; their ids are broadcast only while they are at most BROADCAST_IDS.
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = normal.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("normal").alias("normal"))
-    sets = work.saved(shingle_sets(texts), "sets")
+    sets = work.saved(shingle_sets(normal.join(wanted, "id", "left_semi")), "sets")
     star = work.saved(verified(members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
                                .distinct(), sets), "star")
     roots = connected(star, work, "star-roots")
@@ -123,18 +126,15 @@ def line_components(activity: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     work = Workspace(activity.sparkSession, "lines")
-    lines = lines_of(activity)
-    normal = _normal(lines)
+    normal = _normal(lines_of(activity))
     roots = line_roots(normal, work)
     own = F.struct("event_id", "line_no")
     rooted = work.saved(normal.select("event_id", "line_no", "id").join(roots, "id", "left")
                         .select("event_id", "line_no", F.coalesce("root", "id").alias("root")), "rooted")
-    firsts = (rooted.groupBy("root").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select("root", "first"))
+    firsts = (rooted.groupBy("root")
+              .agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "first"))
     placed = rooted.join(firsts, "root", "left").select("event_id", "line_no", F.coalesce("first", own).alias("first"))
-    blank = lines.filter(F.length(F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c"))) == 0).select(
-        "event_id", "line_no", own.alias("first"))
-    return placed.unionByName(blank).select(
+    return placed.select(
         "event_id", "line_no", F.col("first.event_id").alias("first_event_id"),
         F.col("first.line_no").alias("first_line_no"), own.eqNullSafe(F.col("first")).alias("kept"))
 
