@@ -57,7 +57,7 @@ def line_firsts(texts):
     out = {}
     for i in sorted(texts):
         for k, line in enumerate(texts[i].split("\n")):
-            normal = line.strip(" \t\r\x0b\x0c").lower()
+            normal = line.strip(" \t\r").lower()
             out[i, k] = (i, k)
             if normal:
                 places[normal].append((i, k))

@@ -226,7 +226,7 @@ def test_lines(arrow):
     df = events(arrow, enumerate(texts))
     got = line_components(df).collect()
     lines = [(i, k, n) for i, t in enumerate(texts) for k, n in enumerate((t or "").split("\n"))]
-    normal = [n.strip(" \t\r\x0b\x0c").lower() for _, _, n in lines]
+    normal = [n.strip(" \t\r").lower() for _, _, n in lines]
     sets = [{n[j:j + 8] for j in range(max(1, len(n) - 7))} if n else set() for n in normal]
     links = [(a, b) for b in range(len(sets)) for a in range(b)
              if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
