@@ -14,7 +14,8 @@ from hindcast.functions.timeparse import day_literal, instant, micros, parse_ins
 
 PLAN_COLUMNS = ["event_id", "device", "day", "ts", "media_path", "media_bytes", "reason"]
 EVENT = ["device", "event_id"]
-LEVELS = ["day", "hour", "minute", "second"]
+LEVELS = ["day", "hour", "minute", "second", "millisecond", "microsecond"]
+ID_BITS = (32, 16, 0)
 
 
 def _plan(df: DataFrame, reason: str) -> DataFrame:
@@ -34,10 +35,10 @@ def by_size(activity: DataFrame, max_bytes: int) -> DataFrame:
     """Everything but the longest newest run of events whose media fits.
 
     The cut is found by refining: bytes per day, then per hour of the day the
-    cap falls in, minute of that hour, second of that minute. Each step is one
-    small job that sums map-side, orders a handful of rows and returns one;
-    only the events of one second are ordered one by one. What is pruned then
-    is a plain range of ``ts``, so whole days are partition drops.
+    cap falls in, and so on to the microsecond, and there by ranges of event
+    ids. Each step is one small job that sums map-side, orders its cells and
+    returns one; no task orders events. What is pruned then is a plain range of
+    ``ts`` and, at its end, of ids, so whole days are partition drops.
     """
     if max_bytes < 0:
         raise ValueError("max_bytes is at least 0")
@@ -54,10 +55,16 @@ def by_size(activity: DataFrame, max_bytes: int) -> DataFrame:
             return _plan(activity.filter(F.lit(False)), "size")
         start, newer = datetime(1970, 1, 1) + timedelta(microseconds=cut["us"]), cut["newer"]
         inside = _between(activity, start, start + timedelta(**{level + "s": 1}))
-    newest = (Window.partitionBy(F.date_trunc("second", "ts"))
-              .orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0))
-    boundary = (inside.withColumn("_upto", F.sum(F.coalesce("media_bytes", F.lit(0))).over(newest) + newer)
-                .filter(F.col("_upto") > max_bytes))
+    last = None
+    for bits in ID_BITS:  # events of one instant, such as an import's, by ranges of ids
+        newest = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+        cut = (inside.groupBy(F.shiftright("event_id", bits).alias("cell"))
+               .agg(F.coalesce(F.sum("media_bytes"), F.lit(0)).alias("bytes"))
+               .withColumn("upto", F.sum("bytes").over(newest) + newer).filter(F.col("upto") > max_bytes)
+               .agg(F.max(F.struct("cell", (F.col("upto") - F.col("bytes")).alias("newer"))).alias("c")).first()["c"])
+        last, newer = cut["cell"], cut["newer"]
+        inside = inside.filter(F.shiftright("event_id", bits) == last)
+    boundary = _between(activity, start, start + timedelta(microseconds=1)).filter(F.col("event_id") <= last)
     return _plan(older_than(activity, start), "size").unionByName(_plan(boundary, "size"))
 
 
