@@ -155,11 +155,20 @@ def test_op2(run, texts):
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run("op2_token_counts")} == want
 
 
-def test_op5_agrees_with_the_labels(run, spark):
-    got = {r["doc_id"]: r["rejected"] for r in run("op5_quality_bayes")}
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet").collect()
-    right = sum(got[r["doc_id"]] == (r["quality"] == 0 or r["toxic"] == 1) for r in labels)
-    assert len(got) == 200 and right >= 0.85 * len(labels)
+def test_op5_agrees_with_labels_it_has_not_seen(spark):
+    """Fitted on two of three labels; a handful of labels, as in the smallest tables, rejects nothing."""
+    from hindcast.llm.quality import score_quality
+    from hindcast.llm.queries import documents, events_of, rejections
+    from hindcast.llm.stored import bounded_arrow
+
+    larger = SMALL.replace("0.001", "0.1")
+    labels = bounded_arrow(configure(spark)).read.parquet(f"{larger}/labels.parquet")
+    scored = score_quality(events_of(documents(spark, larger)), rejections(labels.filter("doc_id % 3 > 0")))
+    got = {r["event_id"]: r["rejected"] for r in scored.collect()}
+    unseen = labels.filter("doc_id % 3 = 0").collect()
+    clean = [got[r["doc_id"]] for r in unseen if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [got[r["doc_id"]] for r in unseen if r["quality"] == 0 or r["toxic"] == 1]
+    assert len(got) == 10_000 and sum(clean) <= 0.01 * len(clean) and sum(bad) >= 0.88 * len(bad)
 
 
 def test_op6(run, texts):
@@ -213,7 +222,7 @@ def test_pipeline_stages(spark, texts):
             assert out.columns == docs.columns
             now = {r["doc_id"]: r["text"] or "" for r in out.collect()}
         if name == "quality":
-            assert 0.5 * len(left) < len(now) < len(left) and all(left[i] == t for i, t in now.items())
+            assert 0.7 * len(left) < len(now) and all(left[i] == t for i, t in now.items())
         if name == "lines":
             first = line_firsts(left)
             want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if first[i, k] == (i, k))
