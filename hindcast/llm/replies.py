@@ -36,16 +36,23 @@ def _jumps(nodes: DataFrame, work: Workspace) -> tuple[list[DataFrame], DataFram
     turn's depth and summed confidence. Turns that lead into a circle have none."""
     step = work.saved(nodes.select("thread", "turn_no", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"),
                                    F.col("confidence").alias("total")), "jump-0")
-    levels = []
+    levels, ends = [], None
     largest = nodes.groupBy("thread").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    while (1 << len(levels)) <= largest and not step.filter("up is not null").isEmpty():
+    while True:
+        # Threads whose turns have all reached their root are done; the others go on.
+        on = work.saved(step.filter("up is not null").select("thread").distinct(), f"on-{len(levels)}")
+        done = step.join(on, "thread", "left_anti")
+        ends = done if ends is None else ends.unionByName(done)
+        step = step.join(on, "thread", "left_semi")
+        if (1 << len(levels)) > largest or on.isEmpty():
+            return levels, ends.unionByName(step.filter("up is null")).select("thread", "turn_no", "steps", "total")
         levels.append(step)
         above = step.select("thread", F.col("turn_no").alias("up"), F.col("up").alias("next"),
                             F.col("steps").alias("more"), F.col("total").alias("higher"))
-        step = work.saved(step.join(above, ["thread", "up"], "left").select(
-            "thread", "turn_no", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("higher", F.lit(0.0))).alias("total")), f"jump-{len(levels)}")
-    return levels, step.filter("up is null").select("thread", "turn_no", "steps", "total")
+        moved = step.filter("up is not null").join(above, ["thread", "up"]).select(
+            "thread", "turn_no", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"),
+            (F.col("total") + F.col("higher")).alias("total"))
+        step = work.saved(moved.unionByName(step.filter("up is null").select(*moved.columns)), f"jump-{len(levels)}")
 
 
 def format_reply_trees(turns: DataFrame, best: int = 1, learned: str = "internal") -> DataFrame:
