@@ -22,7 +22,7 @@ from hindcast.llm.stored import Workspace
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 8, 4
 KEPT_HASHES = 3 * BANDS * ROWS
-BROADCAST_IDS = 1 << 20  # of 16 bytes
+BROADCAST_IDS = 1 << 20  # of 8 bytes
 
 
 def lines_of(activity: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def _places(wide: Column) -> Column:
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """(id, bucket) of the distinct lines ``lines`` (id, normal), which are partitioned by id."""
+    """(short, bucket) of the distinct lines ``lines`` (id, normal), which are partitioned by id. A short id
+    only leads to candidates; two lines that had the same one would both be compared."""
     wide = F.encode("normal", "UTF-16BE")
     hashes = (lines.select("id", wide.alias("wide"))
               .select("id", "wide", F.explode(_places(F.col("wide"))).alias("i"))
@@ -64,24 +65,23 @@ def bands(lines: DataFrame) -> DataFrame:
     least = [F.min(F.when(F.col("row") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)]
     names = [f"m{r}" for r in range(ROWS)]
     return binned.groupBy("id", "band").agg(*least).select(
-        "id", F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
+        F.xxhash64("id").alias("short"), F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each of ``lines`` (id,
-    normal); a line shorter than a shingle is one as a whole. The aggregate hands
-    on the encoded text as it is, where a projection would encode it for every shingle."""
-    wide = lines.groupBy("id").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide"))
-    return wide.select("id", F.array_distinct(F.transform(
-        _places(F.col("wide")), lambda i: _hash_at(F.col("wide"), i))).alias("shingles"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of full ids whose shingle sets have the share of their
+    union in common; a line shorter than a shingle is one as a whole. ``pairs``
+    has short ids, ``texts`` (id, short, wide) the lines as UTF-16."""
+    def hashes(wide: str) -> Column:
+        return F.transform(_places(F.col(wide)), lambda i: _hash_at(F.col(wide), i))
 
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the share of their union in common."""
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-            .filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * PERCENT).select("a", "b"))
+    sides = [texts.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"))
+             for x in ("a", "b")]
+    facing = (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
+              .join(sides[0], "short_a").join(sides[1], "short_b")
+              .select("a", "b", hashes("wide_a").alias("set_a"), hashes("wide_b").alias("set_b")))
+    both, either = F.size(F.array_intersect("set_a", "set_b")), F.size(F.array_union("set_a", "set_b"))
+    return facing.filter(both * 100 >= either * PERCENT).select("a", "b")
 
 
 def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
@@ -90,23 +90,26 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     distinct = normal.groupBy("id").agg(F.any_value("normal").alias("normal"))
     # A bucket holds different lines only, as copies are folded; its sort spills.
     bucket = Window.partitionBy("bucket")
-    members = work.saved(bands(distinct).withColumns({"n": F.count(F.lit(1)).over(bucket), "head": F.min("id").over(bucket)})
-                         .filter("n > 1").drop("n"), "members")
-    ids = work.saved(members.select("id").distinct(), "ids")
+    members = work.saved(bands(distinct).withColumns(
+        {"n": F.count(F.lit(1)).over(bucket), "head": F.min("short").over(bucket)})
+        .filter("n > 1").drop("n"), "members")
+    shorts = work.saved(members.select("short").distinct(), "shorts")
     # Few lines have candidates; their ids are broadcast only while they are at most BROADCAST_IDS.
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = work.saved(shingle_sets(normal.join(wanted, "id", "left_semi")), "sets")
-    star = work.saved(verified(members.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-                               .distinct(), sets), "star")
-    roots = connected(star, work, "star-roots")
-    labelled = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
+    texts = work.saved(normal.withColumn("short", F.xxhash64("id")).join(wanted, "short", "left_semi")
+                       .groupBy("id", "short").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide")), "texts")
+    pairs = work.saved(members.filter("short <> head").select(F.col("short").alias("a"), F.col("head").alias("b"))
+                       .distinct(), "pairs")
+    star = work.saved(verified(pairs, texts), "star")
+    roots = connected(star, work, "star-roots").select(F.xxhash64("id").alias("short"), F.xxhash64("root").alias("root"))
+    labelled = members.join(roots, "short", "left").select("bucket", "short", F.coalesce("root", "short").alias("root"))
     still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
              .filter("r0 <> r1").select("bucket"))
     left = work.saved(labelled.join(still, "bucket", "left_semi"), "open")
-    right = left.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    rest = (left.withColumnRenamed("id", "a").join(right, "bucket").filter("a < b and root <> root_b")
-            .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    found = work.saved(verified(rest, sets), "rest")
+    right = left.select("bucket", F.col("short").alias("b"), F.col("root").alias("root_b"))
+    rest = (left.withColumnRenamed("short", "a").join(right, "bucket").filter("a > b and root <> root_b")
+            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    found = work.saved(verified(rest, texts), "rest")
     return connected(star.unionByName(found), work, "roots")
 
 
