@@ -78,10 +78,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sides = [texts.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"))
              for x in ("a", "b")]
     facing = (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
-              .join(sides[0], "short_a").join(sides[1], "short_b")
-              .select("a", "b", hashes("wide_a").alias("set_a"), hashes("wide_b").alias("set_b")))
-    both, either = F.size(F.array_intersect("set_a", "set_b")), F.size(F.array_union("set_a", "set_b"))
-    return facing.filter(both * 100 >= either * PERCENT).select("a", "b")
+              .join(sides[0], "short_a").join(sides[1], "short_b"))
+    # The two sets are a lambda variable, so that they are made once and not for each use.
+    sets = F.array(F.struct(hashes("wide_a").alias("a"), hashes("wide_b").alias("b")))
+    alike = F.transform(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * 100
+                        >= F.size(F.array_union(s["a"], s["b"])) * PERCENT)
+    return facing.filter(F.element_at(alike, 1)).select("a", "b")
 
 
 def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
