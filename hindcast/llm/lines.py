@@ -68,22 +68,24 @@ def bands(lines: DataFrame) -> DataFrame:
         F.xxhash64("id").alias("short"), F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of full ids whose shingle sets have the share of their
-    union in common; a line shorter than a shingle is one as a whole. ``pairs``
-    has short ids, ``texts`` (id, short, wide) the lines as UTF-16."""
-    def hashes(wide: str) -> Column:
-        return F.transform(_places(F.col(wide)), lambda i: _hash_at(F.col(wide), i))
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(id, short, shingles): the distinct shingle hashes of each of ``lines``; a
+    line shorter than a shingle is one as a whole. The aggregate hands on the
+    encoded text as it is, where a projection would encode it for every shingle."""
+    wide = lines.groupBy("id", "short").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide"))
+    return wide.select("id", "short", F.array_distinct(F.transform(
+        _places(F.col("wide")), lambda i: _hash_at(F.col("wide"), i))).alias("shingles"))
+
 
-    sides = [texts.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"))
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of full ids whose shingle sets have the share of their
+    union in common; ``pairs`` has short ids."""
+    sides = [sets.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
              for x in ("a", "b")]
-    facing = (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
-              .join(sides[0], "short_a").join(sides[1], "short_b"))
-    # The two sets are a lambda variable, so that they are made once and not for each use.
-    sets = F.array(F.struct(hashes("wide_a").alias("a"), hashes("wide_b").alias("b")))
-    alike = F.transform(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) * 100
-                        >= F.size(F.array_union(s["a"], s["b"])) * PERCENT)
-    return facing.filter(F.element_at(alike, 1)).select("a", "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
+            .join(sides[0], "short_a").join(sides[1], "short_b")
+            .filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * PERCENT).select("a", "b"))
 
 
 def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
@@ -98,11 +100,10 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     shorts = work.saved(members.select("short").distinct(), "shorts")
     # Few lines have candidates; their ids are broadcast only while they are at most BROADCAST_IDS.
     wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
-    texts = work.saved(normal.withColumn("short", F.xxhash64("id")).join(wanted, "short", "left_semi")
-                       .groupBy("id", "short").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide")), "texts")
+    sets = work.saved(shingle_sets(normal.withColumn("short", F.xxhash64("id")).join(wanted, "short", "left_semi")), "sets")
     pairs = work.saved(members.filter("short <> head").select(F.col("short").alias("a"), F.col("head").alias("b"))
                        .distinct(), "pairs")
-    star = work.saved(verified(pairs, texts), "star")
+    star = work.saved(verified(pairs, sets), "star")
     roots = connected(star, work, "star-roots").select(F.xxhash64("id").alias("short"), F.xxhash64("root").alias("root"))
     labelled = members.join(roots, "short", "left").select("bucket", "short", F.coalesce("root", "short").alias("root"))
     still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -111,7 +112,7 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     right = left.select("bucket", F.col("short").alias("b"), F.col("root").alias("root_b"))
     rest = (left.withColumnRenamed("short", "a").join(right, "bucket").filter("a > b and root <> root_b")
             .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    found = work.saved(verified(rest, texts), "rest")
+    found = work.saved(verified(rest, sets), "rest")
     return connected(star.unionByName(found), work, "roots")
 
 
