@@ -35,9 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of like documents stays."""
+    """The first document of each group of documents whose five-word shingles are alike by 0.8 or more stays."""
     configure(bounded_arrow(spark))
-    return _without(docs, ngram_components(events_of(docs)).filter("component_id <> event_id"))
+    return _without(docs, ngram_components(events_of(docs), width=5, percent=80).filter("component_id <> event_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,3 +244,29 @@ def test_pipeline_stages(spark, texts):
 def test_pipeline_runs_its_stages(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(configure(spark), SMALL).count() > 100
+
+
+def test_near_copies_by_five_words(spark):
+    """Stage near_copies links at a five-word similarity of 0.8; op4 keeps its four words and 85 %."""
+    from hindcast.llm.ngram_join import ngram_components
+
+    rnd = np.random.default_rng(21)
+
+    def said(n):
+        return [f"w{k}" for k in rnd.integers(0, 10**9, n)]
+    rows = {}
+    for k, (replaced, added) in enumerate([(44, 0), (0, 110), (60, 0), (0, 140), (20, 0)]):
+        base = said(500)
+        rows[10 * k] = base
+        rows[10 * k + 1] = base[:200] + said(replaced) + base[200 + replaced:] + said(added)
+    rows |= {100: said(3), 101: [], 102: said(700)}
+    ids = sorted(rows)
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in map(rows.get, ids)]
+    roots = linked(len(ids), similar(sets, 80))
+    want = {i for k, i in enumerate(ids) if roots[k] == k}
+    assert want == set(ids) - {1, 11, 41}
+    docs = configure(spark).createDataFrame([(i, " ".join(w), "en", "web", len(" ".join(w))) for i, w in rows.items()],
+                                            "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()} == want
+    events = docs.withColumnRenamed("doc_id", "event_id")
+    assert ngram_components(events).filter("component_id <> event_id").collect()[0]["event_id"] == 41
