@@ -33,6 +33,7 @@ BLOCK_ROWS = 20_000
 BITS = 26
 
 CONTEXTS = "print long, event_id long, at int, reach int, context binary"
+LATER = "of_event long, of_at int"  # of a repeated context: the place whose groups it shares
 CUTS = "event_id long, start int, stop int"
 GROUPS = "print long, reach int, length int, event_id long, start int"
 RESULT = "event_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -82,52 +83,66 @@ def _prints(width: int, gram: int):
     return prints
 
 
-def contexts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram: int) -> DataFrame:
+def contexts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram: int, everything: bool) -> DataFrame:
     """A row for each anchor that may repeat: the bytes that any passage around it can have.
 
     Where a context occurs again within a slice, as in texts that say one thing
     over and over, only the first keeps its bytes; the others are cuts at once
-    (``context`` null, ``reach`` the length, ``print`` spread by text).
+    (``context`` null, ``reach`` the length, ``print`` spread by text). With
+    ``everything`` the first two keep theirs, so that they make a group by
+    themselves, and the others name the first (``LATER``).
     """
-    half = (width - gram) // 2
+    half, spare = (width - gram) // 2, 2 if everything else 1
 
-    def rows(prints, ids, at, reach, found) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(prints.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(at.astype(np.int32)),
-             pa.array(reach.astype(np.int32)), pa.array(found, pa.binary())],
-            ["print", "event_id", "at", "reach", "context"])
+    def rows(prints, ids, at, reach, found, *of) -> pa.RecordBatch:
+        columns = [pa.array(prints.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(at.astype(np.int32)),
+                   pa.array(reach.astype(np.int32)), pa.array(found, pa.binary())]
+        names = ["print", "event_id", "at", "reach", "context"]
+        if everything:
+            of_event, of_at = of or ([None] * len(found), [None] * len(found))
+            columns += [pa.array(of_event, pa.int64()), pa.array(of_at, pa.int32())]
+            names += ["of_event", "of_at"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in slices(batch.column(1)):
                 at, prints = anchors(part, width, gram)
-                before, after = (shared.value.has(0, p) for p in side_prints(part, at, width, gram))
-                again = before | after
-                at, prints, before, after = at[again], prints[again], before[again], after[again]
+                sides = side_prints(part, at, width, gram)
+                before, after = (shared.value.has(0, p) for p in sides)
+                text = np.searchsorted(part.offsets, at, side="right") - 1
+                lo = np.maximum(part.offsets[text], at - np.where(before, width - gram, half))
+                hi = np.minimum(part.offsets[text + 1], at + np.where(after, width, width - half))
+                again = (before | after) & (hi - lo >= width)
+                at, prints, text, lo, hi = at[again], prints[again], text[again], lo[again], hi[again]
                 if not len(at):
                     continue
-                text = np.searchsorted(part.offsets, at, side="right") - 1
                 begin = part.offsets[text]
-                lo = np.maximum(begin, at - np.where(before, width - gram, half))
-                hi = np.minimum(part.offsets[text + 1], at + np.where(after, width, width - half))
-                whole = span_hashes(prefix_hashes(part.data), lo, hi) + (at - lo).astype(np.uint64)
+                whole = mix(span_hashes(prefix_hashes(part.data), lo, hi) + (at - lo).astype(np.uint64)) ^ prints
                 order = np.lexsort((at, ids[part.lo + text], whole))
-                same = np.concatenate(([False], whole[order][1:] == whole[order][:-1]))
+                head = np.concatenate(([True], whole[order][1:] != whole[order][:-1]))
+                heads = np.flatnonzero(head)[np.cumsum(head) - 1]
+                same = np.arange(len(order)) - heads >= spare
                 first, later = np.sort(order[~same]), np.sort(order[same])
                 raw = part.data.tobytes()
                 yield rows(prints[first], ids[part.lo + text[first]], (at - begin)[first], (at - lo)[first],
                            [raw[i:j] for i, j in zip(lo[first].tolist(), hi[first].tolist(), strict=True)])
-                if len(later):
+                if len(later) and everything:
+                    later, of = order[same], order[heads[same]]
+                    yield rows(prints[later], ids[part.lo + text[later]], (at - begin)[later], (at - lo)[later],
+                               [None] * len(later), ids[part.lo + text[of]].astype(np.int64),
+                               (at - begin)[of].astype(np.int32))
+                elif len(later):
                     joined = np.concatenate(([True], (lo[later][1:] > hi[later][:-1])
                                              | (text[later][1:] != text[later][:-1])))
                     head = np.flatnonzero(joined)
                     ends = np.maximum.reduceat(hi[later], head)
-                    starts, of = lo[later][head], text[later][head]
+                    starts, of = np.minimum.reduceat(lo[later], head), text[later][head]
                     yield rows(mix(of.astype(np.uint64)), ids[part.lo + of], starts - part.offsets[of], ends - starts,
                                [None] * len(head))
 
-    return texts.mapInArrow(cut, CONTEXTS)
+    return texts.mapInArrow(cut, f"{CONTEXTS}, {LATER}" if everything else CONTEXTS)
 
 
 def _sorted_side(prints: np.ndarray, data: np.ndarray, first: np.ndarray, step: int, lengths: np.ndarray,
@@ -296,9 +311,23 @@ def _texts(activity: DataFrame) -> DataFrame:
 
 def _found(work: Workspace, texts: DataFrame, width: int, gram: int, everything: bool) -> DataFrame:
     """The occurrences, or the cuts, of all anchors of ``texts``, as a written table."""
-    shared = work.spark.sparkContext.broadcast(frequent_bits(texts, _prints(width, gram), [2], BITS))  # of fixed size
-    rows = contexts(texts, shared, width, gram)
-    found = work.saved(_by_anchor(rows, width, gram, everything, GROUPS if everything else CUTS), "found")
+    bits = frequent_bits(texts, _prints(width, gram), [2], BITS)
+    shared = work.spark.sparkContext.broadcast(bits)  # of fixed size
+    rows = contexts(texts, shared, width, gram, everything)
+    if everything:
+        rows = work.saved(rows, "contexts")
+        later = rows.filter("of_event is not null").select(
+            "print", F.col("event_id").alias("later_event"), F.col("at").alias("later_at"), "of_event", "of_at")
+        whole = rows.filter("of_event is null").drop("of_event", "of_at")
+        groups = work.saved(_by_anchor(whole, width, gram, True, GROUPS), "groups")
+        more = (groups.withColumnsRenamed({"event_id": "of_event"}).withColumn("of_at", F.col("start") + F.col("reach"))
+                .join(later, ["print", "of_event", "of_at"])
+                .select("print", "reach", "length", F.col("later_event").alias("event_id"),
+                        (F.col("later_at") - F.col("reach")).alias("start")))
+        found = work.saved(groups.unionByName(more), "found")
+    else:
+        cuts = _by_anchor(rows, width, gram, False, CUTS)
+        found = work.saved(cuts, "found")
     shared.destroy()
     return found
 
@@ -308,8 +337,8 @@ def repeat_groups(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     ``print`` (the anchor), ``reach`` (bytes of the repeat before it), ``length``,
     and the occurrences ``event_id, start``. A repeat is followed for up to
     ``width`` bytes from an anchor; a longer one shows as one group for each
-    anchor in it. Contexts that a slice of a few hundred texts holds twice count
-    once. Null and short texts have none."""
+    anchor in it. Equal contexts of a slice are compared as two and joined back to
+    their groups. Null and short texts have none."""
     work = Workspace(activity.sparkSession, "repeats")
     texts = _texts(activity).filter("event_id is not null and octet_length(text) >= %d" % width)
     return _found(work, texts, width, gram, True).distinct()

@@ -216,6 +216,24 @@ def test_repeat_groups_are_maximal(arrow):
     assert everywhere == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeat_groups_hold_equal_contexts(arrow, parts):
+    from hindcast.llm.repeats import repeat_groups
+
+    rnd = random.Random(16)
+    passage, copy = sentence(rnd, 40)[:70], sentence(rnd, 40)[:90]
+    texts = [x + passage + y for x, y in zip("pqqqqr", "uvvvvw", strict=True)] + [copy] * 5
+    found = {}
+    df = events(arrow, enumerate(texts)).coalesce(1) if parts == 1 else events(arrow, enumerate(texts)).repartition(parts)
+    rows = [tuple(r) for r in repeat_groups(df, 40, 16).collect()]
+    for _, _, length, event_id, start in rows:
+        found.setdefault(texts[event_id][start:start + length], set()).add((event_id, start))
+    assert len(rows) == len(set(rows))
+    for string, places in found.items():
+        assert places == {(i, s) for i, t in enumerate(texts) for s in range(len(t)) if t.startswith(string, s)}
+    assert {i for places in found.values() for i, _ in places} == set(range(len(texts)))
+
+
 def test_lines(arrow):
     from hindcast.llm.lines import dedup_lines, line_components
 
