@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hindcast.llm.grams import Slice, mix, prefix_hashes, slices, span_hashes, window_hashes
 from hindcast.llm.sketch import FrequentBits, frequent_bits
@@ -79,7 +79,8 @@ def _prints(width: int, gram: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for part in slices(batch.column(1)):
-                yield np.concatenate(side_prints(part, anchors(part, width, gram)[0], width, gram))
+                at, found = anchors(part, width, gram)
+                yield np.concatenate((*side_prints(part, at, width, gram), mix(found + np.uint64(3))))
     return prints
 
 
@@ -111,6 +112,18 @@ def contexts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram
                 at, prints = anchors(part, width, gram)
                 sides = side_prints(part, at, width, gram)
                 before, after = (shared.value.has(0, p) for p in sides)
+                if not everything:  # the windows of hot sides are compared by themselves
+                    before, after = (x & ~shared.value.has(1, p) for x, p in zip((before, after), sides, strict=True))
+                    # A hot anchor is split by its sides; a passage holds one of them.
+                    split = shared.value.has(1, mix(prints + np.uint64(3)))
+                    both = np.flatnonzero(split & before & after)
+                    prints = np.where(split, np.where(before, *sides), prints)
+                    at, prints = np.concatenate((at, at[both])), np.concatenate((prints, sides[1][both]))
+                    before = np.concatenate((before, np.zeros(len(both), bool)))
+                    after = np.concatenate((after, np.ones(len(both), bool)))
+                    after[both] = False
+                    placed = np.argsort(at, kind="stable")
+                    at, prints, before, after = at[placed], prints[placed], before[placed], after[placed]
                 text = np.searchsorted(part.offsets, at, side="right") - 1
                 lo = np.maximum(part.offsets[text], at - np.where(before, width - gram, half))
                 hi = np.minimum(part.offsets[text + 1], at + np.where(after, width, width - half))
@@ -145,6 +158,59 @@ def contexts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram
     return texts.mapInArrow(cut, f"{CONTEXTS}, {LATER}" if everything else CONTEXTS)
 
 
+def hot_cuts(texts: DataFrame, shared: Broadcast[FrequentBits], width: int, gram: int) -> DataFrame:
+    """The cuts (``CUTS``) at anchors with a side that more than ``BLOCK_ROWS``
+    places share, from the windows of ``width`` bytes that hold that side.
+
+    Equal windows of a slice fold to their earliest place before the shuffle,
+    so a window in every text makes a row for each slice; its places are then
+    ordered by a spillable sort. Windows are told apart by their bytes within
+    a slice and by a 128-bit digest between slices.
+    """
+    half = (width - gram) // 2
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for part in slices(batch.column(1)):
+                at, _ = anchors(part, width, gram)
+                before, after = (shared.value.has(1, p) for p in side_prints(part, at, width, gram))
+                marked = np.zeros(len(part.data) + 1, np.int32)
+                text = np.searchsorted(part.offsets, at, side="right") - 1
+                for hot, lo, hi in ((before, at - (width - gram), at - half), (after, at - half, at)):
+                    lo = np.maximum(lo, part.offsets[text])[hot]
+                    hi = np.minimum(hi, part.offsets[text + 1] - width)[hot] + 1
+                    np.add.at(marked, lo[hi > lo], 1)
+                    np.add.at(marked, hi[hi > lo], -1)
+                at = np.flatnonzero(np.cumsum(marked) > 0)
+                if not len(at):
+                    continue
+                text = np.searchsorted(part.offsets, at, side="right") - 1
+                raw, found, cuts = part.data.tobytes(), {}, []
+                places = zip([ids[part.lo + k] for k in text.tolist()], (at - part.offsets[text]).tolist(), at.tolist(),
+                             strict=True)
+                for event_id, start, k in sorted(places):
+                    place = (event_id, start, start + width)
+                    if found.setdefault(raw[k:k + width], place) == place:
+                        continue
+                    if cuts and cuts[-1][0] == event_id and start <= cuts[-1][2]:
+                        place = (event_id, cuts.pop()[1], start + width)
+                    cuts.append(place)
+                names = [hashlib.blake2b(w, digest_size=16).digest() for w in found]
+                names += [b"%d/%d" % place[:2] for place in cuts]  # known, so they need no company
+                some = [*found.values(), *cuts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.binary()), pa.array([k >= len(found) for k in range(len(some))]),
+                     *(pa.array([p[k] for p in some], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32())))],
+                    ["window", "known", "event_id", "start", "stop"])
+
+    rows = texts.mapInArrow(windows, f"window binary, known boolean, {CUTS}")
+    place = F.struct("event_id", "start")
+    first = F.first(place).over(Window.partitionBy("window").orderBy("event_id", "start"))
+    return (rows.withColumn("later", F.col("known") | (place != first)).filter("later")
+            .select("event_id", "start", "stop"))
+
+
 def _sorted_side(prints: np.ndarray, data: np.ndarray, first: np.ndarray, step: int, lengths: np.ndarray,
                  most: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by (print, bytes from ``first`` in direction ``step``)
@@ -292,12 +358,11 @@ def _by_anchor(rows: DataFrame, width: int, gram: int, everything: bool, schema:
                 continue
             held.append(batch)
             size += len(batch)
-            if size >= BLOCK_ROWS:
+            if size >= BLOCK_ROWS and held[0].column(0)[0] != batch.column(0)[-1]:
                 table = pa.Table.from_batches(held).combine_chunks()
                 prints = table.column(0).to_numpy()
                 whole = int(np.searchsorted(prints, prints[-1]))  # the last anchor may go on
-                if whole:
-                    yield found(table.slice(0, whole).combine_chunks())
+                yield found(table.slice(0, whole).combine_chunks())
                 held, size = table.slice(whole).to_batches(), size - whole
         if size:
             yield found(pa.Table.from_batches(held).combine_chunks())
@@ -311,7 +376,7 @@ def _texts(activity: DataFrame) -> DataFrame:
 
 def _found(work: Workspace, texts: DataFrame, width: int, gram: int, everything: bool) -> DataFrame:
     """The occurrences, or the cuts, of all anchors of ``texts``, as a written table."""
-    bits = frequent_bits(texts, _prints(width, gram), [2], BITS)
+    bits = frequent_bits(texts, _prints(width, gram), [2, BLOCK_ROWS], BITS)
     shared = work.spark.sparkContext.broadcast(bits)  # of fixed size
     rows = contexts(texts, shared, width, gram, everything)
     if everything:
@@ -327,6 +392,8 @@ def _found(work: Workspace, texts: DataFrame, width: int, gram: int, everything:
         found = work.saved(groups.unionByName(more), "found")
     else:
         cuts = _by_anchor(rows, width, gram, False, CUTS)
+        if bits.tables[1].any():
+            cuts = cuts.unionByName(hot_cuts(texts, shared, width, gram))
         found = work.saved(cuts, "found")
     shared.destroy()
     return found
@@ -338,7 +405,8 @@ def repeat_groups(activity: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     and the occurrences ``event_id, start``. A repeat is followed for up to
     ``width`` bytes from an anchor; a longer one shows as one group for each
     anchor in it. Equal contexts of a slice are compared as two and joined back to
-    their groups. Null and short texts have none."""
+    their groups. The different contexts of one anchor are one task's work, in
+    memory. Null and short texts have none."""
     work = Workspace(activity.sparkSession, "repeats")
     texts = _texts(activity).filter("event_id is not null and octet_length(text) >= %d" % width)
     return _found(work, texts, width, gram, True).distinct()

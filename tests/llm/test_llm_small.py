@@ -234,6 +234,27 @@ def test_repeat_groups_hold_equal_contexts(arrow, parts):
     assert {i for places in found.values() for i, _ in places} == set(range(len(texts)))
 
 
+@pytest.mark.parametrize("seed", [17, 18])
+def test_hot_anchors_are_split(arrow, seed, monkeypatch):
+    from hindcast.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK_ROWS", 6)  # counted on the driver; tasks keep their own
+    blocks, by_anchor = [], repeats._by_anchor
+    monkeypatch.setattr(repeats, "_by_anchor", lambda rows, *a: (blocks.append(
+        max([0, *(r["count"] for r in rows.filter("context is not null").groupBy("print").count().collect())])),
+        by_anchor(rows, *a))[1])
+    rnd = random.Random(seed)
+    gram, common = sentence(rnd, 20)[:40], sentence(rnd, 40)[:150]
+    texts = families(seed, 20) + ["ab" * rnd.randint(40, 90) + sentence(rnd, 8) for _ in range(8)]
+    for k in range(60):
+        ours = rnd.choice([common, common, common[:110], common[40:], gram])
+        ends = [rnd.choice(["", "x", "xy", sentence(rnd, 1), sentence(rnd, 20)]) for _ in range(2)]
+        texts.append(ends[0] + ours + ends[1])
+    df = events(arrow, enumerate(texts)).repartition(5)
+    assert {r["event_id"]: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()} == removed(texts, 100)
+    assert blocks and blocks[0] < 6
+
+
 def test_lines(arrow):
     from hindcast.llm.lines import dedup_lines, line_components
 
