@@ -636,9 +636,9 @@ def stream_activity_late(spark, d):
                          F.lit(None).cast(f.dataType).alias(f.name) for f in schema.ACTIVITY.fields))
     folder = shared_dir(spark, "late")
     for part in range(3, -1, -1):  # the newest quarter lands first, and each lands in a batch of its own
-        rows.filter(F.floor(F.col("event_id") * 4 / (rows.agg(F.max("event_id") + 1).scalar())) == part).coalesce(
-            1).write.mode("append").parquet(folder + "/landing")
-        running = SI.stream_activity(SI.landing_stream(spark, folder + "/landing", 1), folder + "/table", folder + "/ck")
+        rows.filter(F.floor(F.col("event_id") * 4 / (rows.agg(F.max("event_id") + 1).scalar())) == part).write.mode(
+            "append").parquet(folder + "/landing")
+        running = SI.stream_activity(SI.landing_stream(spark, folder + "/landing"), folder + "/table", folder + "/ck")
         try:
             if not running.awaitTermination(600):
                 raise TimeoutError("stream did not finish")

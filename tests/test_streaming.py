@@ -122,3 +122,24 @@ def test_only_the_silent_track_is_reported(spark, folder):
     found = {(r["device"], r["track"]): r for r in spark.read.parquet(folder + "/out").collect()}
     assert set(found) == {("a", "system"), ("b", "mic")}
     assert found["a", "system"]["no_signal_at"] == start + timedelta(seconds=110 + 60)
+
+
+def test_late_quarters_land_from_all_tasks(spark, folder, monkeypatch):
+    """Each quarter is written by as many tasks as its rows have, and is one micro-batch of all its files."""
+    import glob
+    from collections import Counter
+
+    from hindcast.plans import queries
+
+    split, batches = V.events, []
+    whole = sorted(tuple(r) for r in queries.QUERIES["stream_activity_late"](spark, SMALL).collect())
+    monkeypatch.setattr(V, "events", lambda s, d: split(s, d).repartition(4))
+    monkeypatch.setattr(queries, "shared_dir", lambda s, purpose: folder)
+    stream = queries.SI.stream_activity
+    monkeypatch.setattr(queries.SI, "stream_activity", lambda *a: batches.append(stream(*a)) or batches[-1])
+    got = sorted(tuple(r) for r in queries.QUERIES["stream_activity_late"](spark, SMALL).collect())
+    assert got == whole
+    files = [f.rsplit("part-", 1)[1][6:42] for f in glob.glob(folder + "/landing/part-*.parquet")]
+    assert len(files) > 4 and len(set(files)) == 4
+    assert all(sum(p["numInputRows"] > 0 for p in q.recentProgress) == 1 for q in batches)
+    assert max(Counter(files).values()) > 1
