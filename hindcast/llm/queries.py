@@ -140,3 +140,59 @@ def op7_reply_trees(spark, d):
                        F.sha2(spoken, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
                        F.sha2("learned", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op11_bpe_trees(spark, d):
+    from hindcast.llm.bpe_trees import decoded, encode_texts
+
+    path = tokenizer("word_bpe_49k.json")
+    ids = F.col("ids")
+    return (encode_texts(events_of(documents(spark, d)), path).withColumn("decoded", decoded(ids, path))
+            .select(F.col("event_id").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+@query
+def op12_merkle_manifest(spark, d):
+    from hindcast.llm.merkle import FIELDS, fold, leaf_digest, manifest, siblings
+
+    # The copy to be audited: of every fifth event by checksum, the text is in lower case.
+    altered = F.crc32(F.col("event_id").cast("string")) % 5 == 0
+    copy = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [F.when(altered, copy).otherwise(F.col(c)) if c == "text" else F.col(c) for c in FIELDS]
+    activity = documents(spark, d).select(
+        F.col("doc_id").alias("event_id"), F.col("source").alias("app"), F.col("lang").alias("window"),
+        F.col("n_chars").alias("text_len"), "text").withColumn("audited", leaf_digest(*fields))
+    proven = manifest(activity, keep=["audited"])
+    return (proven.withColumn("folded_root", fold(F.col("audited"), F.col("proof")))
+            .select(F.col("event_id").alias("doc_id"), "leaf", "subroot", "root",
+                    F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+@query
+def op13_periodic_runs(spark, d):
+    from hindcast.llm.periodic import periodic_runs
+
+    # One text in ten, by checksum, repeats its words from a place on.
+    h = F.crc32(F.col("doc_id").cast("string"))
+    texts = (documents(spark, d).select("doc_id", "text", h.alias("h"))
+             .withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(
+                 "text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+             .select("doc_id", "text", "w", F.expr("h div 10").alias("g"), F.size("w").alias("n"))
+             .select("*", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")).alias("a"))
+             .select("*", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)").alias("p")))
+    repeated = F.array_join(F.concat(F.slice("w", 1, F.col("a")), F.slice(F.flatten(F.array_repeat(
+        F.slice("w", F.col("a") + 1, F.col("p")), F.expr("cast((n - a) div p + 1 as int)"))), 1, F.expr("n - a"))), " ")
+    found = periodic_runs(texts.select(F.col("doc_id").alias("event_id"),
+                                       F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text")))
+    best = F.try_element_at(F.array_sort("runs", lambda x, y: (
+        y["length"] * x["period"] - x["length"] * y["period"]).cast("int")), F.lit(1))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", best).select(
+        F.col("event_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
