@@ -1,12 +1,15 @@
 """Exact BPE encoding of texts of any length by tree concatenation, and decoding.
 
 A text of up to ``LEAF_CHARS`` characters is encoded whole. A longer one is
-halved until its leaves are that short, wherever the cuts fall; the leaves are
-encoded in parallel and neighbours are then joined level by level. At a join
-only a window around the cut is encoded again. It grows until on each side one
-token is the same, with the same place, in the window's encoding and in the
-half's own. Up to that token the left half stands, from there the window, and
-from the right one on the right half.
+halved until its leaves are that short, wherever the cuts fall, and the leaves
+are encoded in parallel. A task then joins a text's leaves in the order of the
+tree. At a join only a window around the cut is encoded again. It grows until
+on each side one token is the same, with the same place, in the window's
+encoding and in the half's own. Up to that token the left half stands, from
+there the window, and from the right one on the right half. So a leaf is sent
+on as bare ids but for its two edges of ``EDGE_CHARS``, which keep their text
+and the tokens' places. A text where a window would outgrow an edge (one
+character repeated without end does that) is encoded whole.
 
 Why this is exact: words are found by a scan that looks only forward, so two
 scans that both end a word at one place go on alike; inside a long run both
@@ -23,6 +26,7 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hindcast.llm.stored import Workspace
 
 LEAF_CHARS = 16_384
+EDGE_CHARS = 1024
 WINDOW_CHARS = 128  # at first, on each side of a cut
 MARGIN = 16  # more than the longest special string and the longest contraction
 CONTRACTION = 3  # characters; a longer word is a run of one kind of character
 
-NODES = "digest string, depth int, node long, text string, ids binary, starts binary, ends binary, first binary"
+PARTS = "event_id long, digest string, copies long, leaves int, leaf int, text string"
+EDGE = "struct<text: string, ids: binary, starts: binary, ends: binary, first: binary>"
+NODES = f"event_id long, digest string, copies long, leaves int, leaf int, head {EDGE}, middle binary, tail {EDGE}"
+TREES = "event_id long, digest string, copies long, ids array<int>"
 ENCODED = "event_id long, ids array<int>"
 
 _tokenizers: dict[str, object] = {}
@@ -110,14 +118,73 @@ def _common(one: Tokens, two: Tokens) -> list[tuple[int, int]]:
     return [(i, there[key]) for i, key in enumerate(keys) if whole_one[i] and key in there]
 
 
-def join_halves(tokenizer, left_text: str, left: Tokens, right_text: str, right: Tokens) -> Tokens:
-    """The encoding of ``left_text + right_text`` from those of both."""
-    cut, size = len(left_text), len(left_text) + len(right_text)
+@dataclass
+class Edge:
+    """The text at one side of a node and the tokens that lie in it; ``whole`` if that is the node's whole text."""
+
+    text: str
+    tokens: Tokens
+    whole: bool
+
+    def packed(self) -> dict:
+        t = self.tokens
+        return {"text": self.text, "ids": t.ids.tobytes(), "starts": t.starts.tobytes(), "ends": t.ends.tobytes(),
+                "first": t.first.tobytes()}
+
+    @staticmethod
+    def unpacked(row: dict, whole: bool) -> Edge:
+        return Edge(row["text"], Tokens(*(np.frombuffer(row[name], bool if name == "first" else np.int32)
+                                          for name in ("ids", "starts", "ends", "first"))), whole)
+
+
+@dataclass
+class Node:
+    """The encoding of a part of a text: two edges and the ids between them. A short one has one edge only."""
+
+    head: Edge
+    middle: list[np.ndarray]
+    tail: Edge | None
+
+    @staticmethod
+    def of(text: str, tokens: Tokens) -> Node:
+        if len(text) <= 2 * EDGE_CHARS:
+            return Node(Edge(text, tokens, True), [], None)
+        a = int(np.searchsorted(tokens.ends, EDGE_CHARS, side="right"))
+        at = len(text) - EDGE_CHARS
+        b = max(a, int(np.searchsorted(tokens.starts, at)))
+        return Node(Edge(text[:EDGE_CHARS], tokens.part(0, a), False), [tokens.ids[a:b]],
+                    Edge(text[at:], tokens.part(b, len(tokens.ids), -at), False))
+
+    def ids(self) -> np.ndarray:
+        return np.concatenate([self.head.tokens.ids, *self.middle, *([self.tail.tokens.ids] if self.tail else [])])
+
+
+def join_nodes(tokenizer, a: Node, b: Node) -> Node | None:
+    """The encoding of both texts joined; none if a window would have to reach beyond an edge."""
+    left, right = a.tail or a.head, b.head
+    found = join_edges(tokenizer, left, right)
+    if found is None:
+        return None
+    if a.tail is None and b.tail is None:
+        return Node.of(left.text + right.text, found)
+    if a.tail is None:
+        return Node(Edge(left.text + right.text, found, False), b.middle, b.tail)
+    if b.tail is None:
+        return Node(a.head, a.middle, Edge(left.text + right.text, found, False))
+    return Node(a.head, [*a.middle, found.ids, *b.middle], b.tail)
+
+
+def join_edges(tokenizer, one: Edge, two: Edge) -> Tokens | None:
+    """The tokens of two edges that meet at a cut."""
+    left, right = one.tokens, two.tokens
+    cut, size = len(one.text), len(one.text) + len(two.text)
     right = right.part(0, len(right.ids), cut)
     reach = WINDOW_CHARS
     while True:
         lo, hi = max(0, cut - reach), min(size, cut + reach)
-        text = left_text[lo:] + right_text[:hi - cut]
+        if (lo == 0 and not one.whole) or (hi == size and not two.whole):
+            return None
+        text = one.text[lo:] + two.text[:hi - cut]
         window = Tokens.of(tokenizer, text)
         window = window.part(0, len(window.ids), lo)
         # Only the tokens of the halves inside the window are looked at.
@@ -127,7 +194,16 @@ def join_halves(tokenizer, left_text: str, left: Tokens, right_text: str, right:
         back, w_to = (len(right.ids), len(window.ids)) if hi == size else _right(right, b, window, text, lo, cut, hi)
         if front is not None and back is not None and w_from <= w_to:
             return _joined(left.part(0, front), window.part(w_from, w_to), right.part(back, len(right.ids)))
-        reach *= 4
+        reach *= 2
+
+
+def join_tree(tokenizer, nodes: list[Node]) -> Node | None:
+    """All ``nodes`` of a text, in order, joined half by half."""
+    if len(nodes) == 1:
+        return nodes[0]
+    half = len(nodes) // 2
+    a, b = join_tree(tokenizer, nodes[:half]), join_tree(tokenizer, nodes[half:])
+    return None if a is None or b is None else join_nodes(tokenizer, a, b)
 
 
 def _left(left: Tokens, a: int, window: Tokens, text: str, lo: int, cut: int) -> tuple[int | None, int]:
@@ -156,74 +232,62 @@ def _right(right: Tokens, b: int, window: Tokens, text: str, lo: int, cut: int,
     return None, 0
 
 
-def _node_rows(rows: list[tuple[str, int, int, str, Tokens]]) -> pa.RecordBatch:
-    names = ["digest", "depth", "node", "text", "ids", "starts", "ends", "first"]
-    columns = [list(c) for c in zip(*[(d, depth, node, text, t.ids.tobytes(), t.starts.tobytes(), t.ends.tobytes(),
-                                       t.first.tobytes()) for d, depth, node, text, t in rows], strict=True)]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _tokens(row: dict, side: str) -> Tokens:
-    kinds = {"ids": np.int32, "starts": np.int32, "ends": np.int32, "first": bool}
-    return Tokens(*(np.frombuffer(row[f"{name}_{side}"], kind) for name, kind in kinds.items()))
-
-
 def leaves(texts: DataFrame, leaf_chars: int) -> DataFrame:
-    """(digest, depth, node, text): each text halved ``depth`` times, its parts numbered from 0."""
+    """``texts`` (event_id, digest, text) halved to leaves, numbered from 0; ``copies`` counts equal rows."""
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                depth = max(0, (-(-len(text) // leaf_chars) - 1).bit_length())
-                count = 1 << depth
-                for node in range(count):
-                    part = text[node * len(text) // count:(node + 1) * len(text) // count]
-                    yield pa.RecordBatch.from_pydict(
-                        {"digest": [digest], "depth": pa.array([depth], pa.int32()),
-                         "node": pa.array([node], pa.int64()), "text": [part]})
-
-    return texts.select("digest", "text").mapInArrow(halve, "digest string, depth int, node long, text string")
-
-
-def encode_trees(texts: DataFrame, tokenizer_path: str, leaf_chars: int, work: Workspace) -> DataFrame:
-    """(digest, ids) of the distinct ``texts`` (digest, text). Each level is a
-    written table and one join of halves; a text leaves when it is whole."""
+            for event_id, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = 1 << max(0, (-(-len(text) // leaf_chars) - 1).bit_length())
+                cuts = [k * len(text) // count for k in range(count + 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([event_id] * count, pa.int64()), pa.array([digest] * count, pa.string()),
+                     pa.array([1] * count, pa.int64()), pa.array([count] * count, pa.int32()),
+                     pa.array(range(count), pa.int32()), pa.array([text[i:j] for i, j in pairwise(cuts)], pa.string())],
+                    ["event_id", "digest", "copies", "leaves", "leaf", "text"])
+
+    return (texts.select("event_id", "digest", "text").mapInArrow(halve, PARTS)
+            .groupBy("event_id", "digest", "leaves", "leaf")
+            .agg(F.sum("copies").alias("copies"), F.any_value("text").alias("text")))
+
+
+def encode_trees(texts: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(event_id, digest, copies, ids) of ``texts`` (event_id, digest, text); no
+    ids where a window outgrew an edge. Leaves are spread over all tasks; then
+    one text's nodes, mostly bare ids, meet in one task, as its row does."""
+    edge = pa.struct([("text", pa.string()), *((n, pa.binary()) for n in ("ids", "starts", "ends", "first"))])
+    own = ["event_id", "digest", "copies", "leaves", "leaf"]
+
+    def narrow(tokenizer) -> type:
+        return np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.int32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _node_rows([(row["digest"], row["depth"], row["node"], row["text"],
-                                   Tokens.of(tokenizer, row["text"]))])
+            nodes = [Node.of(text, Tokens.of(tokenizer, text)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in own), pa.array([n.head.packed() for n in nodes], edge),
+                 pa.array([np.concatenate([*n.middle, []]).astype(narrow(tokenizer)).tobytes() for n in nodes], pa.binary()),
+                 pa.array([n.tail and n.tail.packed() for n in nodes], edge)], [*own, "head", "middle", "tail"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokenizer_path)
+        tokenizer, held = tokenizer_of(tokenizer_path), []
         for batch in batches:
             for row in batch.to_pylist():
-                whole = join_halves(tokenizer, row["text_a"], _tokens(row, "a"), row["text_b"], _tokens(row, "b"))
-                yield _node_rows([(row["digest"], row["depth"] - 1, row["parent"],
-                                   row["text_a"] + row["text_b"], whole)])
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [np.frombuffer(b, np.int32) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32()))],
-                                             ["digest", "ids"])
-
-    cut = work.saved(leaves(texts, leaf_chars), "leaves")
-    level = work.saved(cut.repartition("digest", "node").mapInArrow(encode, NODES), "level-0")
-    top = level.agg(F.max("depth")).first()[0] or 0
-    done = level.filter("depth = 0").select("digest", "ids")
-    fields = ["text", "ids", "starts", "ends", "first"]
-    for step in range(1, top + 1):
-        open_ = level.filter("depth > 0").withColumn("parent", F.expr("node div 2"))
-        a, b = (open_.filter(F.col("node") % 2 == k).select(
-            "digest", "depth", "parent", *[F.col(f).alias(f"{f}_{side}") for f in fields])
-            for k, side in ((0, "a"), (1, "b")))
-        level = work.saved(a.join(b, ["digest", "depth", "parent"]).mapInArrow(join, NODES), f"level-{step}")
-        done = done.unionByName(level.filter("depth = 0").select("digest", "ids"))
-    return done.mapInArrow(ids, "digest string, ids array<int>")
+                tail = row["tail"] and Edge.unpacked(row["tail"], False)
+                held.append(Node(Edge.unpacked(row["head"], tail is None),
+                                 [np.frombuffer(row["middle"], narrow(tokenizer))], tail))
+                if len(held) == row["leaves"]:
+                    whole, held = join_tree(tokenizer, held), []
+                    ids = None if whole is None else whole.ids().astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["event_id"]], pa.int64()), pa.array([row["digest"]]),
+                         pa.array([row["copies"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))],
+                        ["event_id", "digest", "copies", "ids"])
+
+    order = ["event_id", "digest", "leaf"]
+    return (leaves(texts, leaf_chars).select(*own, "text").mapInArrow(encode, NODES)
+            .repartition("event_id", "digest").sortWithinPartitions(*order).mapInArrow(join, TREES))
 
 
 def _listed(found: list[list[int]]) -> pa.ListArray:
@@ -240,13 +304,12 @@ def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
     ``activity`` needs ``event_id`` and ``text``; other columns are not read.
     Returns ``event_id`` and ``ids`` (array of int), one row per input row. A
     text of more than ``leaf_chars`` characters is encoded by tree
-    concatenation, once for all its copies; the result does not depend on
-    ``leaf_chars``. Special strings inside texts become their ids, as is the
+    concatenation; the result does not depend on ``leaf_chars``. Special strings inside texts become their ids, as is the
     tokenizer's default. A null or empty text has no ids (an empty array); a
     null ``event_id`` is kept; repeated rows are encoded each; an empty table
     gives no rows. ``tokenizer_path`` must be readable on every executor, its
     words must be found by a forward scan as in ``word_bpe_49k.json``. A long
-    text takes about 10 bytes a character in the task that joins its last halves.
+    text takes about 6 bytes a character in the task that joins its leaves.
     """
     work = Workspace(activity.sparkSession, "bpe-trees")
     rows = activity.select(F.col("event_id").cast("long").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -259,11 +322,17 @@ def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
 
     short = rows.filter(F.length("text") <= leaf_chars).mapInArrow(encode, ENCODED)
     long = rows.filter(F.length("text") > leaf_chars).withColumn("digest", F.sha2("text", 256))
-    if long.isEmpty():
-        return short
-    texts = long.groupBy("digest").agg(F.any_value("text").alias("text"))
-    trees = work.saved(encode_trees(texts, tokenizer_path, leaf_chars, work), "trees")
-    return short.unionByName(long.select("event_id", "digest").join(trees, "digest").select("event_id", "ids"))
+    trees = work.saved(encode_trees(long, tokenizer_path, leaf_chars), "trees")
+    joined = trees.filter(F.col("ids").isNotNull())
+    again = joined.filter("copies > 1")
+    found = short.unionByName(joined.select("event_id", "ids")).unionByName(
+        again.select("event_id", "ids", F.explode(F.sequence(F.lit(2), "copies"))).select("event_id", "ids"))
+    outgrown = trees.filter(F.col("ids").isNull()).select(F.col("event_id").alias("_event"), F.col("digest").alias("_digest"))
+    if outgrown.isEmpty():
+        return found
+    rest = long.join(outgrown, F.col("event_id").eqNullSafe(F.col("_event")) & (F.col("digest") == F.col("_digest")),
+                     "left_semi").select("event_id", "text")
+    return found.unionByName(rest.mapInArrow(encode, ENCODED))
 
 
 def decoded(ids: Column, tokenizer_path: str) -> Column:

@@ -54,30 +54,33 @@ def library():
     return Tokenizer.from_file(WORDS)
 
 
-def halves(tokenizer, text, leaf):
-    from hindcast.llm.bpe_trees import Tokens, join_halves
+def cut_up(tokenizer, text, leaf):
+    from hindcast.llm.bpe_trees import Node, Tokens
 
     if len(text) <= leaf:
-        return Tokens.of(tokenizer, text)
+        return [Node.of(text, Tokens.of(tokenizer, text))]
     cut = len(text) // 2
-    return join_halves(tokenizer, text[:cut], halves(tokenizer, text[:cut], leaf),
-                       text[cut:], halves(tokenizer, text[cut:], leaf))
+    return cut_up(tokenizer, text[:cut], leaf) + cut_up(tokenizer, text[cut:], leaf)
 
 
-@pytest.mark.parametrize("window", [24, 128])
-def test_trees_equal_the_library_wherever_the_cuts_fall(library, monkeypatch, window):
+@pytest.mark.parametrize(("window", "edge"), [(24, 1024), (128, 1024), (20, 30), (20, 120)])
+def test_trees_equal_the_library_wherever_the_cuts_fall(library, monkeypatch, window, edge):
     from hindcast.llm import bpe_trees
 
     monkeypatch.setattr(bpe_trees, "WINDOW_CHARS", window)
-    rnd = random.Random(window)
+    monkeypatch.setattr(bpe_trees, "EDGE_CHARS", edge)
+    rnd, whole = random.Random(window + edge), 0
     parts = ["a", "B's ", "É", " ", "Σ", "\n", "é", "́", "̣", "<|endoftext|>", "<|startoftext|>", "<|endof",
              "İ", ",", ".", "don't", "1", "\t", "\x1c", "ﬁ", "ª", "…", "日本語", "🙂", "'ve", "'", "ll", "the", "ing",
              "각", "ᄀ", "ᅡ", "ー"]
-    for _ in range(400):
+    for _ in range(300):
         some = rnd.sample(parts, rnd.randint(1, 8))
         text = "".join(rnd.choice(some) for _ in range(rnd.randint(1, 400)))
         want = library.encode(text, add_special_tokens=False).ids
-        assert halves(library, text, rnd.choice([20, 40, 100])).ids.tolist() == want, text
+        tree = bpe_trees.join_tree(library, cut_up(library, text, rnd.choice([20, 40, 100, 300])))
+        whole += tree is not None
+        assert tree is None or tree.ids().tolist() == want, text
+    assert whole > (290 if edge == 1024 else 60)
 
 
 def test_texts_are_encoded_and_decoded_as_by_the_library(arrow, library):
