@@ -1,8 +1,8 @@
 """Exact BPE encoding of texts of any length by tree concatenation, and decoding.
 
-A text of up to ``LEAF_CHARS`` characters is encoded whole. A longer one is
-halved until its leaves are that short, wherever the cuts fall, and the leaves
-are encoded in parallel. A task then joins a text's leaves in the order of the
+A text of up to ``LEAF_CHARS`` characters is encoded word by word. A longer one
+is halved until its leaves are that short, wherever the cuts fall, and the
+leaves are encoded in parallel. A task then joins a text's leaves in the order of the
 tree. At a join only a window around the cut is encoded again. It grows until
 on each side one token is the same, with the same place, in the window's
 encoding and in the half's own. Up to that token the left half stands, from
@@ -32,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hindcast.llm.packing import Encoder
 from hindcast.llm.stored import Workspace
 
 LEAF_CHARS = 16_384
-EDGE_CHARS = 1024
+EDGE_CHARS = 512
 WINDOW_CHARS = 128  # at first, on each side of a cut
 MARGIN = 16  # more than the longest special string and the longest contraction
 CONTRACTION = 3  # characters; a longer word is a run of one kind of character
@@ -99,6 +100,11 @@ class Tokens:
         return last, long, whole
 
 
+def word_ids(encoder: Encoder, text: str) -> np.ndarray:
+    """Ids of a text that is cut at its blanks and line ends."""
+    return np.frombuffer(encoder.encode(text), np.int32)
+
+
 def _joined(*parts: Tokens) -> Tokens:
     return Tokens(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("ids", "starts", "ends", "first")))
 
@@ -155,6 +161,16 @@ class Node:
         return Node(Edge(text[:EDGE_CHARS], tokens.part(0, a), False), [tokens.ids[a:b]],
                     Edge(text[at:], tokens.part(b, len(tokens.ids), -at), False))
 
+    @staticmethod
+    def leaf(encoder: Encoder, text: str) -> Node:
+        """The node of a leaf. Words end at a blank, so only its edges need tokens with places."""
+        i, j = text.find(" ", EDGE_CHARS), text.rfind(" ", 0, max(0, len(text) - EDGE_CHARS))
+        if i < 0 or j < i:
+            return Node.of(text, Tokens.of(encoder.chunks.tokenizer, text))
+        head, tail = text[:i], text[j:]
+        return Node(Edge(head, Tokens.of(encoder.chunks.tokenizer, head), False), [word_ids(encoder, text[i:j])],
+                    Edge(tail, Tokens.of(encoder.chunks.tokenizer, tail), False))
+
     def ids(self) -> np.ndarray:
         return np.concatenate([self.head.tokens.ids, *self.middle, *([self.tail.tokens.ids] if self.tail else [])])
 
@@ -262,9 +278,9 @@ def encode_trees(texts: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_C
         return np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.int32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokenizer_path)
+        tokenizer, encoder = tokenizer_of(tokenizer_path), Encoder.of(tokenizer_path)
         for batch in batches:
-            nodes = [Node.of(text, Tokens.of(tokenizer, text)) for text in batch.column("text").to_pylist()]
+            nodes = [Node.leaf(encoder, text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in own), pa.array([n.head.packed() for n in nodes], edge),
                  pa.array([np.concatenate([*n.middle, []]).astype(narrow(tokenizer)).tobytes() for n in nodes], pa.binary()),
@@ -290,12 +306,9 @@ def encode_trees(texts: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_C
             .repartition("event_id", "digest").sortWithinPartitions(*order).mapInArrow(join, TREES))
 
 
-def _listed(found: list[list[int]]) -> pa.ListArray:
+def _listed(found: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-    flat = np.empty(int(ends[-1]), np.int32)
-    for k, values in enumerate(found):
-        flat[ends[k]:ends[k + 1]] = values
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
 
 
 def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -315,10 +328,10 @@ def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
     rows = activity.select(F.col("event_id").cast("long").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column(1).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed([e.ids for e in found])], ["event_id", "ids"])
+            ids = [word_ids(encoder, text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(ids)], ["event_id", "ids"])
 
     short = rows.filter(F.length("text") <= leaf_chars).mapInArrow(encode, ENCODED)
     long = rows.filter(F.length("text") > leaf_chars).withColumn("digest", F.sha2("text", 256))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hindcast.llm.stored import Workspace
 
 CAPACITY = 4096
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS, MEMO_CHARS = 300_000, 64
 SALTS = 256
 
 PIECES = "event_id long, piece int, start long, length long, ids_crc32 long, salt int"
@@ -44,7 +44,8 @@ class Chunks(dict):
     A chunk that is one word goes straight to the tokenizer's model,
     lower-cased as it does; a closing full stop or comma is
     encoded by itself; anything else goes through the whole tokenizer. At most
-    two generations of ``MEMO_CHUNKS`` chunks are remembered.
+    two generations of ``MEMO_CHUNKS`` chunks of up to ``MEMO_CHARS`` characters
+    are remembered.
     """
 
     def __init__(self, path: str):
@@ -55,6 +56,8 @@ class Chunks(dict):
         self.model, self.signs, self.older = self.tokenizer.model, byte_signs(), {}
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > MEMO_CHARS:
+            return self.found(chunk)
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.found(chunk)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH_BYTES = 1 << 20
-MEMO_PIECES = 200_000
+MEMO_PIECES, MEMO_CHARS = 200_000, 64
 MARK = "▁"  # the model's own sign for a space
 _PIECE = re.compile(" +[^ ]*")
 
@@ -45,7 +45,7 @@ def balanced(parts: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
 
 
 class PieceCounter:
-    """Token counts of texts; remembers the lengths of at most ``MEMO_PIECES`` pieces."""
+    """Token counts of texts; remembers the lengths of some ``MEMO_PIECES`` pieces of up to ``MEMO_CHARS`` characters."""
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -65,7 +65,11 @@ class PieceCounter:
         for group in balanced(list(fresh)):
             self.lengths.update(zip(group, map(len, self.model.encode(group, num_threads=1)), strict=True))
         lengths = self.lengths
-        return [sum(map(lengths.__getitem__, parts)) for parts in cut]
+        counts = [sum(map(lengths.__getitem__, parts)) for parts in cut]
+        for part in fresh:
+            if len(part) > MEMO_CHARS:
+                del lengths[part]
+        return counts
 
 
 def count_tokens(activity: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:

@@ -54,22 +54,23 @@ def library():
     return Tokenizer.from_file(WORDS)
 
 
-def cut_up(tokenizer, text, leaf):
-    from hindcast.llm.bpe_trees import Node, Tokens
+def cut_up(encoder, text, leaf):
+    from hindcast.llm.bpe_trees import Node
 
     if len(text) <= leaf:
-        return [Node.of(text, Tokens.of(tokenizer, text))]
+        return [Node.leaf(encoder, text)]
     cut = len(text) // 2
-    return cut_up(tokenizer, text[:cut], leaf) + cut_up(tokenizer, text[cut:], leaf)
+    return cut_up(encoder, text[:cut], leaf) + cut_up(encoder, text[cut:], leaf)
 
 
 @pytest.mark.parametrize(("window", "edge"), [(24, 1024), (128, 1024), (20, 30), (20, 120)])
 def test_trees_equal_the_library_wherever_the_cuts_fall(library, monkeypatch, window, edge):
     from hindcast.llm import bpe_trees
+    from hindcast.llm.packing import Encoder
 
     monkeypatch.setattr(bpe_trees, "WINDOW_CHARS", window)
     monkeypatch.setattr(bpe_trees, "EDGE_CHARS", edge)
-    rnd, whole = random.Random(window + edge), 0
+    rnd, whole, encoder = random.Random(window + edge), 0, Encoder.of(WORDS)
     parts = ["a", "B's ", "É", " ", "Σ", "\n", "é", "́", "̣", "<|endoftext|>", "<|startoftext|>", "<|endof",
              "İ", ",", ".", "don't", "1", "\t", "\x1c", "ﬁ", "ª", "…", "日本語", "🙂", "'ve", "'", "ll", "the", "ing",
              "각", "ᄀ", "ᅡ", "ー"]
@@ -77,7 +78,7 @@ def test_trees_equal_the_library_wherever_the_cuts_fall(library, monkeypatch, wi
         some = rnd.sample(parts, rnd.randint(1, 8))
         text = "".join(rnd.choice(some) for _ in range(rnd.randint(1, 400)))
         want = library.encode(text, add_special_tokens=False).ids
-        tree = bpe_trees.join_tree(library, cut_up(library, text, rnd.choice([20, 40, 100, 300])))
+        tree = bpe_trees.join_tree(library, cut_up(encoder, text, rnd.choice([20, 40, 100, 300])))
         whole += tree is not None
         assert tree is None or tree.ids().tolist() == want, text
     assert whole > (290 if edge == 1024 else 60)
