@@ -353,7 +353,8 @@ def decoded(ids: Column, tokenizer_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        tokenizer = tokenizer_of(tokenizer_path)
-        return pa.array(tokenizer.decode_batch(column.to_pylist(), skip_special_tokens=False), pa.string())
+        tokenizer, values = tokenizer_of(tokenizer_path), column.values.to_numpy()
+        rows = pairwise(column.offsets.to_pylist())
+        return pa.array([tokenizer.decode(values[a:b].tolist(), skip_special_tokens=False) for a, b in rows], pa.string())
 
     return decode(ids)
