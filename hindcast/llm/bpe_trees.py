@@ -45,7 +45,7 @@ PARTS = "event_id long, digest string, copies long, leaves int, leaf int, text s
 EDGE = "struct<text: string, ids: binary, starts: binary, ends: binary, first: binary>"
 NODES = f"event_id long, digest string, copies long, leaves int, leaf int, head {EDGE}, middle binary, tail {EDGE}"
 TREES = "event_id long, digest string, copies long, ids array<int>"
-ENCODED = "event_id long, ids array<int>"
+ENCODED = "event_id long, ids array<int>, decoded string"
 
 _tokenizers: dict[str, object] = {}
 
@@ -311,13 +311,16 @@ def _listed(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
 
 
-def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS,
+                 decode: bool = False) -> DataFrame:
     """Token ids of every event's whole text, as the tokenizer gives them without added special tokens.
 
     ``activity`` needs ``event_id`` and ``text``; other columns are not read.
-    Returns ``event_id`` and ``ids`` (array of int), one row per input row. A
-    text of more than ``leaf_chars`` characters is encoded by tree
-    concatenation; the result does not depend on ``leaf_chars``. Special strings inside texts become their ids, as is the
+    Returns ``event_id`` and ``ids`` (array of int), and with ``decode`` also
+    ``decoded``, the text that the ids decode to (see :func:`decoded`), one
+    row per input row. A text of more than ``leaf_chars`` characters is
+    encoded by tree concatenation; the result does not depend on
+    ``leaf_chars``. Special strings inside texts become their ids, as is the
     tokenizer's default. A null or empty text has no ids (an empty array); a
     null ``event_id`` is kept; repeated rows are encoded each; an empty table
     gives no rows. ``tokenizer_path`` must be readable on every executor, its
@@ -326,35 +329,42 @@ def encode_texts(activity: DataFrame, tokenizer_path: str, leaf_chars: int = LEA
     """
     work = Workspace(activity.sparkSession, "bpe-trees")
     rows = activity.select(F.col("event_id").cast("long").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))
+    columns = ["event_id", "ids", "decoded"] if decode else ["event_id", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path)
         for batch in batches:
             ids = [word_ids(encoder, text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(ids)], ["event_id", "ids"])
+            texts = [_decode(tokenizer_of(tokenizer_path), k) if decode else None for k in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _listed(ids), pa.array(texts, pa.string())],
+                                             ["event_id", "ids", "decoded"])
 
-    short = rows.filter(F.length("text") <= leaf_chars).mapInArrow(encode, ENCODED)
+    short = rows.filter(F.length("text") <= leaf_chars).mapInArrow(encode, ENCODED).select(*columns)
     long = rows.filter(F.length("text") > leaf_chars).withColumn("digest", F.sha2("text", 256))
     trees = work.saved(encode_trees(long, tokenizer_path, leaf_chars), "trees")
     joined = trees.filter(F.col("ids").isNotNull())
-    again = joined.filter("copies > 1")
-    found = short.unionByName(joined.select("event_id", "ids")).unionByName(
-        again.select("event_id", "ids", F.explode(F.sequence(F.lit(2), "copies"))).select("event_id", "ids"))
+    if decode:
+        joined = joined.withColumn("decoded", decoded(F.col("ids"), tokenizer_path))
+    found = short.unionByName(joined.select(*columns, F.explode(F.sequence(F.lit(1), "copies"))).select(*columns))
     outgrown = trees.filter(F.col("ids").isNull()).select(F.col("event_id").alias("_event"), F.col("digest").alias("_digest"))
     if outgrown.isEmpty():
         return found
     rest = long.join(outgrown, F.col("event_id").eqNullSafe(F.col("_event")) & (F.col("digest") == F.col("_digest")),
                      "left_semi").select("event_id", "text")
-    return found.unionByName(rest.mapInArrow(encode, ENCODED))
+    return found.unionByName(rest.mapInArrow(encode, ENCODED).select(*columns))
+
+
+def _decode(tokenizer, ids: np.ndarray) -> str:
+    return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 def decoded(ids: Column, tokenizer_path: str) -> Column:
-    """The text that the tokenizer decodes an array of ids to, special tokens included."""
+    """The text that the tokenizer decodes an array of ids to, special tokens included; null stays null."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         tokenizer, values = tokenizer_of(tokenizer_path), column.values.to_numpy()
-        rows = pairwise(column.offsets.to_pylist())
-        return pa.array([tokenizer.decode(values[a:b].tolist(), skip_special_tokens=False) for a, b in rows], pa.string())
+        rows = zip(pairwise(column.offsets.to_pylist()), column.is_valid().to_pylist(), strict=True)
+        return pa.array([_decode(tokenizer, values[a:b]) if valid else None for (a, b), valid in rows], pa.string())
 
     return decode(ids)

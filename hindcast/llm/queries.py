@@ -144,11 +144,10 @@ def op7_reply_trees(spark, d):
 
 @query
 def op11_bpe_trees(spark, d):
-    from hindcast.llm.bpe_trees import decoded, encode_texts
+    from hindcast.llm.bpe_trees import encode_texts
 
-    path = tokenizer("word_bpe_49k.json")
     ids = F.col("ids")
-    return (encode_texts(events_of(documents(spark, d)), path).withColumn("decoded", decoded(ids, path))
+    return (encode_texts(events_of(documents(spark, d)), tokenizer("word_bpe_49k.json"), decode=True)
             .select(F.col("event_id").alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"),
                     F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256")))

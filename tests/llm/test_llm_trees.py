@@ -90,14 +90,15 @@ def test_texts_are_encoded_and_decoded_as_by_the_library(arrow, library):
     rnd = random.Random(9)
     unsplit = "".join(rnd.choice("abcdefghij") for _ in range(5_000))
     rows = [*enumerate([*ODD, unsplit, "日本語" * 700]), (None, unsplit), (0, "dup"), (0, "dup")]
-    ids = encode_texts(events(arrow, rows), WORDS, leaf_chars=300)
-    got = Counter((r["event_id"], tuple(r["ids"]), r["back"]) for r in
-                  ids.withColumn("back", decoded(F.col("ids"), WORDS)).collect())
+    ids = encode_texts(events(arrow, rows), WORDS, leaf_chars=300, decode=True)
+    got = Counter((r["event_id"], tuple(r["ids"]), r["decoded"]) for r in ids.collect())
     want = Counter()
     for event_id, text in rows:
         found = library.encode(text or "", add_special_tokens=False).ids
         want[event_id, tuple(found), library.decode(found, skip_special_tokens=False)] += 1
     assert got == want
+    apart = encode_texts(events(arrow, rows[:20]), WORDS, 300).select("*", decoded(F.col("ids"), WORDS).alias("back"))
+    assert {(r["event_id"], tuple(r["ids"]), r["back"]) for r in apart.collect()} <= set(want)
     assert encode_texts(events(arrow, []), WORDS).count() == 0
 
 
