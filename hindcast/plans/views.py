@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, dealt out by id: what is done with a text is then spread evenly, however few files hold them."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").select("doc_id", *columns).repartition(parts, "doc_id")
+
+
 def _rem(column: str, n: int):
     return F.col(column) % n
 
@@ -46,11 +52,9 @@ def as_events(e: DataFrame) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: events with the window and text of one document each."""
-    docs = table(spark, sf_dir, "documents")
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    docs = (docs.select("doc_id", "source", "text"))
+    n_docs = table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
     return (events(spark, sf_dir).withColumn("doc_id", F.col("event_id") % n_docs)
-            .join(docs, "doc_id")
+            .join(corpus(spark, sf_dir, "source", "text"), "doc_id")
             .withColumn("window", F.when(_rem("event_id", 10) == 0, F.upper("app")).otherwise(F.col("source")))
             .withColumn("text", F.when(_rem("event_id", 17) != 0, F.col("text")))
             .drop("doc_id", "source"))
@@ -58,7 +62,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: documents as a search corpus."""
-    return (table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(
+    return corpus(spark, sf_dir, "source", "lang", "text").select(
         F.col("doc_id").alias("event_id"), F.col("source").alias("app"), F.col("lang").alias("window"), "text")
 
 
@@ -84,14 +88,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("turn") * SEG_MS + F.col("v.shift")).alias("start_ms")))
     timed = ~_rem("conv_id", 5).isin(1, 2)
     start = F.when(timed, F.col("start_ms"))
-    terms = search_terms("text")
-    step = F.floor(F.lit(SEG_LEN_MS) / F.greatest(F.size(terms), F.lit(1)))
-    return both.select(
-        "device", "chunk_ts", "track",
-        F.when(_rem("conv_id", 5) != 2, F.col("seg_no")).alias("seg_no"),
-        start.alias("start_ms"), (start + SEG_LEN_MS).alias("end_ms"), "text",
-        F.transform(terms, lambda w, i: F.struct(
-            w.alias("w"), (start + i * step).alias("start_ms"), (start + (i + 1) * step).alias("end_ms"),
+    # Terms and their step are columns of their own: inside the lambda they would be made anew for every word.
+    worded = (both.select("device", "chunk_ts", "track", F.when(_rem("conv_id", 5) != 2, F.col("seg_no")).alias("seg_no"),
+                          start.alias("start_ms"), "text", search_terms("text").alias("terms"))
+              .withColumn("step", F.floor(F.lit(SEG_LEN_MS) / F.greatest(F.size("terms"), F.lit(1)))))
+    at, step = F.col("start_ms"), F.col("step")
+    return worded.select(
+        "device", "chunk_ts", "track", "seg_no", "start_ms", (at + SEG_LEN_MS).alias("end_ms"), "text",
+        F.transform("terms", lambda w, i: F.struct(
+            w.alias("w"), (at + i * step).alias("start_ms"), (at + (i + 1) * step).alias("end_ms"),
             F.lit(1.0).alias("conf"))).alias("words"))
 
 
