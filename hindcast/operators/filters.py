@@ -61,14 +61,17 @@ def filter_events(activity: DataFrame, *, kind: str | None = None, app: str | No
     return df
 
 
-def get_event(activity: DataFrame, event_id: int) -> DataFrame:
-    """One event, text whole."""
-    return activity.filter(F.col("event_id") == event_id)
+def get_event(activity: DataFrame, event_id: int, device: str | None = None) -> DataFrame:
+    """One event, text whole. Without ``device``, every device's event of that id."""
+    found = activity.filter(F.col("event_id") == event_id)
+    return found if device is None else found.filter(F.col("device") == device)
 
 
 def get_events(activity: DataFrame, ids: DataFrame) -> DataFrame:
-    """The events named in ``ids.event_id``. The join strategy follows the ids' measured size."""
-    return activity.join(ids.select("event_id").distinct(), "event_id", "left_semi")
+    """The events named in ``ids``, by (device, event_id) if it has both, else by
+    ``event_id``. The join strategy follows the ids' measured size."""
+    key = [c for c in ("device", "event_id") if c in ids.columns]
+    return activity.join(ids.select(*key).distinct(), key, "left_semi")
 
 
 def cap_text(df: DataFrame, max_text_chars: int = DEFAULT_TEXT_CHARS) -> DataFrame:

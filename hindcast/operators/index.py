@@ -28,18 +28,25 @@ def buckets_of(terms: list[str], buckets: int = BUCKETS) -> list[int]:
     return sorted({zlib.crc32(t.encode()) % buckets for t in terms})
 
 
+def event_key(df: DataFrame) -> list[str]:
+    """What names an event: an id is a device's own, where rows say the device."""
+    return [c for c in ("device", "event_id") if c in df.columns]
+
+
 def build_postings(activity: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(term, event_id, tf, dl, bucket), one row per event and distinct term.
+    """(term, event_id, tf, dl, bucket), and device and day where the events have
+    them; one row per event and distinct term.
 
     The text is spread by event first: the count per (event, term) then needs
     no second shuffle, and a shuffle of text is smaller than one of terms.
     """
-    terms = (activity.filter(F.length("text") > 0).select("event_id", "text").repartition("event_id")
-             .select("event_id", search_terms("text").alias("terms")))
-    return (terms.select("event_id", F.size("terms").cast("long").alias("dl"),
+    own = event_key(activity) + [c for c in ("day",) if c in activity.columns]
+    terms = (activity.filter(F.length("text") > 0).select(*own, "text").repartition(*event_key(activity))
+             .select(*own, search_terms("text").alias("terms")))
+    return (terms.select(*own, F.size("terms").cast("long").alias("dl"),
                          F.explode("terms").alias("term"))
-            .groupBy("event_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-            .select("term", "event_id", "tf", "dl", term_bucket(F.col("term"), buckets).alias("bucket")))
+            .groupBy(*own, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+            .select("term", *own, "tf", "dl", term_bucket(F.col("term"), buckets).alias("bucket")))
 
 
 def corpus_stats(activity: DataFrame) -> DataFrame:
@@ -62,10 +69,11 @@ def update_postings(postings: DataFrame, added: DataFrame | None = None,
 
     Re-added events replace their old entries.
     """
-    gone = [d.select("event_id") for d in (removed, added) if d is not None]
+    key = event_key(postings)
+    gone = [d.select(*key) for d in (removed, added) if d is not None]
     if gone:
         ids = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
-        postings = postings.join(ids, "event_id", "left_anti").select(*postings.columns)
+        postings = postings.join(ids, key, "left_anti").select(*postings.columns)
     if added is not None:
         postings = postings.unionByName(build_postings(added, buckets))
     return postings
@@ -78,7 +86,7 @@ def hits(postings: DataFrame, terms: list[str], buckets: int = BUCKETS) -> DataF
 
 def matching_events(postings: DataFrame, terms: list[str], match: str = "all",
                     buckets: int = BUCKETS) -> DataFrame:
-    found = hits(postings, terms, buckets).groupBy("event_id").agg(F.count(F.lit(1)).alias("matched"))
+    found = hits(postings, terms, buckets).groupBy(*event_key(postings)).agg(F.count(F.lit(1)).alias("matched"))
     return _enough(found, terms, match)
 
 
@@ -98,7 +106,7 @@ def tf_norm(tf: Column, dl: Column, avg_dl: Column) -> Column:
 
 def rank(postings: DataFrame, terms: list[str], stats: DataFrame, match: str = "any",
          buckets: int = BUCKETS) -> DataFrame:
-    """(event_id, matched, score): BM25 with statistics of the whole index.
+    """(event's key, matched, score): BM25 with statistics of the whole index.
 
     Document frequencies are one row per query term, so that side of the join
     is bounded by the argument list and broadcast.
@@ -110,7 +118,7 @@ def rank(postings: DataFrame, terms: list[str], stats: DataFrame, match: str = "
     weights = (found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", idf(n_docs, F.col("df")).alias("idf")))
     scored = (found.join(F.broadcast(weights), "term")
-              .groupBy("event_id")
+              .groupBy(*event_key(postings))
               .agg(F.count(F.lit(1)).alias("matched"),
                    F.round(F.sum(F.col("idf") * tf_norm(F.col("tf"), F.col("dl"), total / n_docs)),
                            SCORE_DIGITS).alias("score")))

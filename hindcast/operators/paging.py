@@ -48,14 +48,18 @@ def cursor_column(position: Column) -> Column:
     return F.regexp_replace(F.base64(F.to_json(position).cast("binary")), r"\s", "")
 
 
-def after_cursor(df: DataFrame, ts_micros: int, event_id: int) -> DataFrame:
-    """Rows older than the cursor in (ts, event_id) order.
+def moment(ts_micros: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(microseconds=ts_micros)
+
+
+def after_cursor(df: DataFrame, ts_micros: int, event_id: int, device: str) -> DataFrame:
+    """Rows older than the cursor in (ts, event_id, device) order.
 
     The plain ``ts <=`` conjunct lets Parquet skip row groups; the rest is exact.
     """
-    at = instant(df, "ts", datetime(1970, 1, 1) + timedelta(microseconds=ts_micros))
-    ts = F.col("ts")
-    return df.filter(ts <= at).filter((ts < at) | (F.col("event_id") < event_id))
+    at = instant(df, "ts", moment(ts_micros))
+    ts, own = F.col("ts"), F.col("event_id")
+    return df.filter(ts <= at).filter((ts < at) | (own < event_id) | ((own == event_id) & (F.col("device") < device)))
 
 
 @dataclass
@@ -71,6 +75,7 @@ class Page:
     query: str
     ranked: bool = False
     offset: int = 0
+    keyset: bool = False  # a ranked cursor is a position too
     stored_version: int | None = None
 
     @property
@@ -88,16 +93,20 @@ class Page:
 
     def info(self) -> DataFrame:
         """One row: returned, has_more, next_cursor, oldest_ts, resume_from, notice."""
-        ordered = ["score", "ts", "event_id"] if self.ranked else ["ts", "event_id"]
+        ordered = ["score", "ts", "event_id", "device"] if self.ranked else ["ts", "event_id", "device"]
         any_source = self.source.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
         found = self.keys.agg(
             F.sort_array(F.collect_list(F.struct(*ordered)), asc=False).alias("k")).withColumn("in_source", any_source)
         shown = F.slice("k", 1, self.limit)
         last = F.try_element_at("shown", F.col("returned"))
-        cursor = (F.struct(F.lit(self.query).alias("q"), F.lit(self.offset + self.limit).alias("o"))
-                  if self.ranked else
-                  F.struct(F.lit(self.query).alias("q"), micros(last["ts"]).alias("ts"),
-                           last["event_id"].alias("id")))
+        place = [F.lit(self.query).alias("q"), micros(last["ts"]).alias("ts"), last["event_id"].alias("id"),
+                 last["device"].alias("d")]
+        if not self.ranked:
+            cursor = F.struct(*place)
+        elif self.keyset:
+            cursor = F.struct(*place, last["score"].alias("s"))
+        else:
+            cursor = F.struct(F.lit(self.query).alias("q"), F.lit(self.offset + self.limit).alias("o"))
         return (found.withColumn("shown", shown)
                 .withColumn("returned", F.size("shown"))
                 .withColumn("has_more", F.size("k") > self.limit)

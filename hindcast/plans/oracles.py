@@ -525,3 +525,8 @@ ORACLES["fold_near"] = sql("""
         GROUP BY a.rep, b.rep HAVING count(*)::DOUBLE / (max(a.size) + max(b.size) - count(*)) >= 0.8::DOUBLE""",
     roots="""SELECT id, min(root) AS root FROM (WITH RECURSIVE reach(id, root) AS (SELECT rep, rep FROM reps
         UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id) SELECT * FROM reach) GROUP BY id""")
+# One page has two ways to be found.
+ORACLES["search_newest_scan"] = ORACLES["search_newest"]
+ORACLES["search_fold_scan"] = ORACLES["search_fold"]
+ORACLES["search_relevance_scan"] = ORACLES["search_relevance"]
+ORACLES["search_ranked_page2"] = ORACLES["search_offset"]

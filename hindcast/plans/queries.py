@@ -10,10 +10,12 @@ from hindcast.functions.text import fingerprint, search_terms
 from hindcast.functions.timeparse import parse_instant
 from hindcast.operators import (density as C, filters as FL, fold, index, ingest, listing as A,
                                 retention as R, search as Q, transcript as T)
+from hindcast.operators.kept import Kept, all_groups
 from hindcast.plans import views as V
 from hindcast.session import configure, shared_dir
 from hindcast import schema
 from hindcast.sources import maintain, tables
+from hindcast.sources.kept import build_kept
 from hindcast.streaming import ingest as SI, live
 
 NOW = "2024-01-31T00:00:00Z"
@@ -199,19 +201,20 @@ def _stored_index(spark, d) -> DataFrame:
 
 @query
 def search_all(spark, d):
-    return index.matching_events(_stored_index(spark, d), TERMS[:2], "all", buckets=16)
+    return index.matching_events(_stored_index(spark, d), TERMS[:2], "all", buckets=16).select("event_id", "matched")
 
 
 @query
 def search_any(spark, d):
-    return index.matching_events(_stored_index(spark, d), TERMS, "any", buckets=16)
+    return index.matching_events(_stored_index(spark, d), TERMS, "any", buckets=16).select("event_id", "matched")
 
 
 @query
 def search_ranked(spark, d):
     """Scores of every matching document, from the stored index."""
     postings = _stored_index(spark, d)
-    return index.rank(postings, TERMS, index.corpus_stats(V.docs(spark, d)), "any", buckets=16)
+    return (index.rank(postings, TERMS, index.corpus_stats(V.docs(spark, d)), "any", buckets=16)
+            .select("event_id", "matched", "score"))
 
 
 @query
@@ -221,19 +224,45 @@ def search_ranked_scan(spark, d):
     return index.rank_by_scan(docs, docs, TERMS, "any").select("event_id", "score")
 
 
+_kept_tables: dict[tuple[str, str], Kept] = {}
+
+
+def _kept(spark: SparkSession, d: str) -> Kept:
+    """The tables that search keeps of the events, written once in an application, as they are by ingest."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _kept_tables:
+        _kept_tables[name] = build_kept(spark, V.activity(spark, d), shared_dir(spark, "kept"), buckets=64)
+    return _kept_tables[name]
+
+
 @query
 def search_newest(spark, d):
+    return _page_columns(Q.search_events(V.activity(spark, d), kept=_kept(spark, d)).rows)
+
+
+@query
+def search_newest_scan(spark, d):
+    """The same page without kept tables."""
     return _page_columns(Q.search_events(V.activity(spark, d)).rows)
 
 
 @query
 def search_kind_app(spark, d):
-    return _page_columns(Q.search_events(V.activity(spark, d), kind="screen", app="Error", limit=50).rows)
+    return _page_columns(Q.search_events(V.activity(spark, d), kind="screen", app="Error", limit=50,
+                                         kept=_kept(spark, d)).rows)
 
 
 @query
 def search_relevance(spark, d):
     """A ranked, folded page of events matching any term, inside a time range."""
+    page = Q.search_events(V.activity(spark, d), QUERY, match="any", since=SINCE, until=UNTIL, limit=40,
+                           kept=_kept(spark, d))
+    return _page_columns(page.rows, "score")
+
+
+@query
+def search_relevance_scan(spark, d):
+    """The same page without kept tables: statistics and matches from the text."""
     page = Q.search_events(V.activity(spark, d), QUERY, match="any", since=SINCE, until=UNTIL, limit=40)
     return _page_columns(page.rows, "score")
 
@@ -244,12 +273,22 @@ def search_offset(spark, d):
     return _page_columns(page.rows, "score")
 
 
+@query
+def search_ranked_page2(spark, d):
+    """The page behind a ranked cursor, which is a position and not an offset."""
+    activity, kept = V.activity(spark, d), _kept(spark, d)
+    first = Q.search_events(activity, QUERY, match="any", since=SINCE, until=UNTIL, limit=40, kept=kept)
+    cursor = first.info().first()["next_cursor"]
+    return _page_columns(Q.search_events(activity, QUERY, match="any", since=SINCE, until=UNTIL, limit=40, cursor=cursor,
+                                         kept=kept).rows, "score")
+
+
 @query
 def search_page2_keyset(spark, d):
-    activity = V.activity(spark, d)
-    first = Q.search_events(activity, kind="screen", limit=30)
+    activity, kept = V.activity(spark, d), _kept(spark, d)
+    first = Q.search_events(activity, kind="screen", limit=30, kept=kept)
     cursor = first.info().first()["next_cursor"]
-    return _page_columns(Q.search_events(activity, kind="screen", limit=30, cursor=cursor).rows)
+    return _page_columns(Q.search_events(activity, kind="screen", limit=30, cursor=cursor, kept=kept).rows)
 
 
 @query
@@ -273,6 +312,12 @@ def page_info(spark, d):
 
 @query
 def search_fold(spark, d):
+    return all_groups(_kept(spark, d))
+
+
+@query
+def search_fold_scan(spark, d):
+    """The same groups from the text."""
     return fold.fold_similar(V.activity(spark, d))
 
 

@@ -14,6 +14,7 @@ from hindcast.operators.retention import EVENT, orphans, survivors
 from hindcast.operators.transcript import TURN_GAP_MS, turns_of, widen
 from hindcast.session import MIB, shared_dir
 from hindcast.sources.commit import publish, recover, stage
+from hindcast.sources.kept import prune_kept
 from hindcast.sources.tables import (day_range, media_inventory, read_activity, read_postings,
                                      write_activity)
 
@@ -81,7 +82,7 @@ def _rewrite_days(spark: SparkSession, table: str, changed: DataFrame, days: lis
 
 
 def apply_prune(spark: SparkSession, table: str, plan: DataFrame, *, postings_path: str | None = None,
-                sweep: DataFrame | None = None, fail_after: str | None = None) -> DataFrame:
+                kept_path: str | None = None, sweep: DataFrame | None = None, fail_after: str | None = None) -> DataFrame:
     """Remove the plan's events, then their files. Returns the stored plan.
 
     Rows go first: a crash leaves files no row names, never a row without its
@@ -89,7 +90,8 @@ def apply_prune(spark: SparkSession, table: str, plan: DataFrame, *, postings_pa
     plan; events that arrived after the plan was made stay. A file a surviving
     event also names is kept. ``sweep`` is the media inventory to clear of
     unreferenced files; only a plan that removes everything may pass one, as
-    files exist before their rows. ``fail_after`` stops after a phase, for
+    files exist before their rows. Of the tables kept for search at ``kept_path``
+    only the plan's days are written. ``fail_after`` stops after a phase, for
     crash tests.
     """
     recover(spark, table)
@@ -112,6 +114,8 @@ def apply_prune(spark: SparkSession, table: str, plan: DataFrame, *, postings_pa
         postings = spark.read.parquet(postings_path)
         kept = update_postings(postings, removed=plan)
         publish(spark, postings_path, stage(kept, postings_path, "bucket", ["term", "event_id"]), whole=True)
+    if kept_path:
+        prune_kept(spark, kept_path, plan)
     doomed = plan.filter(F.col("media_path").isNotNull()).select(F.col("media_path").alias("path"))
     if sweep is not None:
         doomed = doomed.unionByName(sweep.select("path"))
