@@ -26,7 +26,8 @@ LOUD = 0.05
 LOUD_SHARE = 0.5
 TURN_GAP_MS = 2_000
 TURN_SLOT_S = 300
-TURN_REACH = timedelta(hours=6)
+FIRST_REACH = timedelta(hours=1)
+CHUNK_LENGTH = timedelta(minutes=10)
 FAR = 1 << 52
 LAST_SEG = (1 << 31) - 1
 LEAN = ["device", "ts", "turn_no", "origin", "text", "confidence", "order_confidence"]
@@ -81,7 +82,7 @@ def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> Dat
 
     No pair of segments is formed. A word is covered when, among the machine's
     words of that term that start no later than it ends, the latest end reaches
-    its start: one running maximum per (chunk, term), in time slices. A term is
+    its start: one running maximum per (chunk, term). A term is
     covered if one of its words is. Segments without word timings count as said
     throughout; unknown times count as overlapping.
     """
@@ -91,15 +92,14 @@ def bleed_coverage(segments: DataFrame, tol_ms: int = BLEED_TOLERANCE_MS) -> Dat
         F.explode(_spoken(segments)).alias("s"))
         .select(*CHUNK, "is_mic", "seg_key", F.col("s.w").alias("w"),
                 F.coalesce("s.start_ms", F.lit(-FAR)).alias("a"), F.coalesce("s.end_ms", F.lit(FAR)).alias("b")))
-    # One scan and one shuffle; copies of a word collapse before anything is ordered.
-    placed = (spread.groupBy(
-        *CHUNK, "w", "is_mic", "seg_key",
+    # The one shuffle: windows and groups below all lie within a chunk.
+    placed = spread.repartition(*CHUNK).select(
+        *CHUNK, "w", "is_mic", "seg_key", F.col("a"),
         F.when(F.col("is_mic") == 1, F.col("b")).otherwise(F.col("a") - tol_ms).alias("pos"),
-        F.when(F.col("is_mic") == 1, F.col("a")).alias("a"))
-        .agg(F.max(F.when(F.col("is_mic") == 0, F.col("b") + tol_ms)).alias("reach"))
-        .withColumn("slice", F.greatest(F.floor(F.col("pos") / 60_000), F.lit(0))))
-    seen = running_max(placed, [*CHUNK, "w"], "slice", ["pos", "is_mic"], "reach", "latest")
-    return (seen.filter(F.col("is_mic") == 1)
+        F.when(F.col("is_mic") == 0, F.col("b") + tol_ms).alias("reach"))
+    upto = (Window.partitionBy(*CHUNK, "w").orderBy("pos", "is_mic")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (placed.withColumn("latest", F.max("reach").over(upto)).filter(F.col("is_mic") == 1)
             .groupBy(*CHUNK, "seg_key", "w")
             .agg(F.max(F.coalesce(F.col("latest") >= F.col("a"), F.lit(False)).cast("long")).alias("found"))
             .groupBy(*CHUNK, "seg_key")
@@ -187,7 +187,9 @@ def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TU
     that arrive late renumber nothing else.
     """
     time_type = dict(labelled.dtypes)["chunk_ts"]
-    order = ["at", "chunk_ts", "seg", "track", "said"]
+    # Every use of the placed rows below needs these columns and no others: their
+    # shuffle is then one and the same, and the labels are made once.
+    order = ["at", "chunk_ts", "seg", "track", "said", "confidence"]
     compared = ["until", "origin", "order_confidence"]
     placed = labelled.withColumns({
         "at": micros("chunk_ts") + F.coalesce("start_ms", F.lit(0)) * 1000,
@@ -195,6 +197,7 @@ def build_turns(labelled: DataFrame, gap_ms: int = TURN_GAP_MS, slot_s: int = TU
         "seg": F.coalesce("seg_no", F.lit(LAST_SEG)),
         "said": F.coalesce("text", F.lit("")),
     }).withColumn("slot", F.floor(F.col("at") / (slot_s * 1_000_000)))
+    placed = placed.select("device", "slot", *order, *compared).repartition("device", "slot")
     slots = Window.partitionBy("device").orderBy("slot")
     seeds = (placed.groupBy("device", "slot").agg(F.max(F.struct(*order, *compared)).alias("end"))
              .withColumn("end", F.lag("end").over(slots)).filter(F.col("end").isNotNull())
@@ -233,15 +236,52 @@ def turns_of(segments: DataFrame, envelopes: DataFrame | None = None, gap_ms: in
     return build_turns(label_origin(segments, envelopes, **labels), gap_ms, slot_s)
 
 
-def widen(df: DataFrame, since, until, now: datetime | None, chunk: timedelta) -> DataFrame:
+def reach(segments: DataFrame, envelopes: DataFrame | None, until: datetime, gap_ms: int,
+          chunk: timedelta = CHUNK_LENGTH) -> timedelta:
+    """How far behind ``until`` every device's turn that is open then has ended.
+
+    A turn ends at the latest where nothing at all was said for ``gap_ms``,
+    whatever the labels come to be. The time looked at grows four-fold until
+    each device has such a pause in it or has fallen silent, so only what an
+    unbroken turn covers is read.
+    """
+    gap, behind = gap_ms * 1000, FIRST_REACH
+    at = micros("chunk_ts") + F.coalesce("start_ms", F.lit(0)) * 1000
+    over = micros("chunk_ts") + F.coalesce("end_ms", "start_ms", F.lit(0)) * 1000
+    end = int((until - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    while True:
+        def within(df: DataFrame, limit: datetime) -> DataFrame:
+            return df.filter((F.col("chunk_ts") >= instant(df, "chunk_ts", until - 2 * chunk))
+                             & (F.col("chunk_ts") < instant(df, "chunk_ts", limit)))
+
+        limit = end + behind // timedelta(microseconds=1)
+        rows = within(segments, until + behind).select("device", at.alias("at"), over.alias("over"))
+        if envelopes is not None:
+            rows = rows.unionByName(within(envelopes, until + behind).select(
+                "device", micros("chunk_ts").alias("at"), micros("chunk_ts").alias("over")))
+        rows = rows.filter((F.col("over") >= end - gap) & (F.col("at") < limit))
+        # Each row asks how far the rows before it reach, and then counts itself.
+        asked = (rows.select("device", "at", "over", F.explode(F.array(F.lit(0), F.lit(1))).alias("counts"))
+                 .withColumns({"over": F.when(F.col("counts") == 1, F.col("over")),
+                               "slot": F.floor(F.col("at") / (TURN_SLOT_S * 1_000_000))}))
+        paused = running_max(asked, ["device"], "slot", ["at", "counts"], "over", "latest").filter(
+            (F.col("counts") == 0) & (F.col("at") >= end) & F.coalesce(F.col("at") > F.col("latest") + gap, F.lit(True)))
+        still = (rows.groupBy("device").agg(F.max("over").alias("over")).filter(F.col("over") + gap >= limit)
+                 .join(paused.select("device").distinct(), "device", "left_anti"))
+        if still.isEmpty():
+            return behind
+        behind *= 4
+
+
+def widen(df: DataFrame, since, until, now: datetime | None, chunk: timedelta, behind: timedelta) -> DataFrame:
     """Chunks a range of turns depends on: from one chunk before it, which shows
-    whether its first segment goes on with an earlier turn, to ``TURN_REACH``
-    behind it, where its last turn has ended."""
+    whether its first segment goes on with an earlier turn, to ``behind`` it,
+    where its last turn has ended (:func:`reach`)."""
     since, until = parse_instant(since, now), parse_instant(until, now)
     if since is not None:
         df = df.filter(F.col("chunk_ts") >= instant(df, "chunk_ts", since - 2 * chunk))
     if until is not None:
-        df = df.filter(F.col("chunk_ts") < instant(df, "chunk_ts", until + TURN_REACH))
+        df = df.filter(F.col("chunk_ts") < instant(df, "chunk_ts", until + behind))
     return df
 
 
@@ -302,9 +342,11 @@ def page_turns(turns: DataFrame, *, since=None, until=None, origin: str | None =
 
 
 def get_transcript(segments: DataFrame, envelopes: DataFrame | None = None, *, since=None, until=None,
-                   now: datetime | None = None, chunk: timedelta = timedelta(minutes=10),
+                   now: datetime | None = None, chunk: timedelta = CHUNK_LENGTH,
                    gap_ms: int = TURN_GAP_MS, **page) -> TurnPage:
-    """Captured audio in range as one ordered conversation."""
-    near = widen(segments, since, until, now, chunk)
-    loud = None if envelopes is None else widen(envelopes, since, until, now, chunk)
+    """Captured audio in range as one ordered conversation; its last turn is whole, however long it goes on."""
+    end = parse_instant(until, now)
+    behind = timedelta(0) if end is None else reach(segments, envelopes, end, gap_ms, chunk)
+    near = widen(segments, since, until, now, chunk, behind)
+    loud = None if envelopes is None else widen(envelopes, since, until, now, chunk, behind)
     return page_turns(turns_of(near, loud, gap_ms), since=since, until=until, now=now, **page)

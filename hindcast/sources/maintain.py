@@ -11,7 +11,7 @@ from hindcast.operators.density import adopt, flushed, guard_root, leftovers, re
 from hindcast.operators.index import update_postings
 from hindcast.operators.ingest import new_events
 from hindcast.operators.retention import EVENT, orphans, survivors
-from hindcast.operators.transcript import TURN_GAP_MS, turns_of, widen
+from hindcast.operators.transcript import CHUNK_LENGTH, TURN_GAP_MS, reach, turns_of, widen
 from hindcast.session import MIB, shared_dir
 from hindcast.sources.commit import publish, recover, stage
 from hindcast.sources.kept import prune_kept
@@ -162,13 +162,14 @@ def apply_reconcile(spark: SparkSession, table: str, root: str) -> DataFrame:
 
 
 def backfill_turns(spark: SparkSession, segments: DataFrame, envelopes: DataFrame | None, table: str,
-                   start: date, end: date, gap_ms: int = TURN_GAP_MS, **labels) -> None:
-    """Rebuild stored turns of a range of days from the segments."""
+                   start: date, end: date, gap_ms: int = TURN_GAP_MS, chunk: timedelta = CHUNK_LENGTH,
+                   **labels) -> None:
+    """Rebuild stored turns of a range of days from the segments; a turn that goes on behind the last day is whole."""
     recover(spark, table)
     since = datetime(start.year, start.month, start.day)
     until = datetime(end.year, end.month, end.day) + timedelta(days=1)
-    chunk = timedelta(minutes=10)
-    near = widen(segments, since, until, None, chunk)
-    loud = None if envelopes is None else widen(envelopes, since, until, None, chunk)
+    behind = reach(segments, envelopes, until, gap_ms, chunk)
+    near = widen(segments, since, until, None, chunk, behind)
+    loud = None if envelopes is None else widen(envelopes, since, until, None, chunk, behind)
     turns = turns_of(near, loud, gap_ms, **labels).drop("segments").filter(day_range(start, end))
     publish(spark, table, stage(turns, table, "day", ["ts", "device", "turn_no"]))

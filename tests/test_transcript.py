@@ -116,3 +116,31 @@ def test_every_conversation_row_is_a_segment(spark):
     rows = V.table(spark, SMALL, "conversations")
     assert V.segments(spark, SMALL).select("device", "chunk_ts", "text").distinct().count() == (
         rows.withColumns(V._chunk_of("conv_id")).select("device", "chunk_ts", "text").distinct().count())
+
+
+def test_a_turn_of_nine_hours_is_whole(spark, folder):
+    """Read up to an instant in it, and stored by a backfill of its first day."""
+    from datetime import date, datetime, timedelta
+
+    from hindcast import schema
+    from hindcast.sources.maintain import backfill_turns
+    from hindcast.sources.tables import read_turns
+
+    begin, rows = datetime(2024, 1, 1, 20), []
+    for k in range(9 * 6):
+        for seg in range(60):
+            rows.append(("long", begin + timedelta(minutes=10 * k), "mic", seg, seg * 10_000, seg * 10_000 + 9_000,
+                         f"w{k}x{seg}", None))
+    rows.append(("long", begin + timedelta(hours=10), "mic", 0, 0, 5_000, "later", None))
+    rows += [("short", begin + timedelta(minutes=m), "mic", 0, 0, 5_000, f"s{m}", None) for m in (0, 230, 250, 600)]
+    segments = spark.createDataFrame(rows, schema.SEGMENTS)
+    shown = ["device", "ts", "text", "segments"]
+    whole = {tuple(r) for r in T.turns_of(segments).select(*shown).collect()}
+    assert max(r[3] for r in whole) == 9 * 360
+    until = datetime(2024, 1, 2)
+    page = T.get_transcript(segments, until=until, max_text_chars=1 << 20, fields=shown)
+    assert {tuple(r)[:4] for r in page.rows.collect()} == {r for r in whole if r[1] < until}
+    assert T.reach(segments, None, until, T.TURN_GAP_MS) < timedelta(hours=20)
+    backfill_turns(spark, segments, None, folder + "/turns", date(2024, 1, 1), date(2024, 1, 1))
+    stored = read_turns(spark, folder + "/turns").select("device", "ts", "text")
+    assert {tuple(r) for r in stored.collect()} == {r[:3] for r in whole if r[1] < until}
