@@ -7,6 +7,22 @@ def escaped(text: str) -> str:
     return rf"replace(replace(replace({text}, '\', '\b'), '<', '\l'), '>', '\g')"
 
 
+def framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(framed, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+# CRC-32 of the decimal doc_id, byte by byte and bit by bit; the large constants are its start and its polynomial.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+RUNS = """SELECT tree, lvl + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), CAST(ceil(total / 16) AS BIGINT)
+            FROM {0} WHERE total > 1 GROUP BY tree, lvl, idx // 16, total"""
+RUN = "OVER (PARTITION BY tree, lvl, idx // 16 ORDER BY idx ROWS BETWEEN"
+
 SAID = r"\### Assistant: </turn> ok"
 
 ORACLES = {
@@ -51,4 +67,33 @@ ORACLES = {
           FROM said GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(learned) AS loss_chars,
           sha256(learned) AS loss_sha256, formatted_chars FROM whole""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+          SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf,
+            CASE WHEN {CRC32} % 5 = 0
+              THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              ELSE {leaf('text')} END AS audited FROM documents),
+        placed AS MATERIALIZED (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS idx,
+            count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+        nodes(tree, lvl, idx, digest, total) AS (
+          SELECT tree, 0, idx, leaf, total FROM placed UNION ALL {RUNS.format('nodes')}),
+        subroots AS MATERIALIZED (
+          SELECT tree AS name, lvl AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place
+          FROM nodes WHERE total = 1),
+        tops(tree, lvl, idx, digest, total) AS (
+          SELECT '^', 0, place, subroot, count(*) OVER () FROM subroots UNION ALL {RUNS.format('tops')}),
+        every AS MATERIALIZED (SELECT * FROM nodes UNION ALL SELECT * FROM tops),
+        links AS MATERIALIZED (
+          SELECT tree, lvl, idx, tree AS up, lvl + 1 AS up_lvl, idx // 16 AS up_idx, true AS hashed,
+            coalesce(string_agg(digest, '') {RUN} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(digest, '') {RUN} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM every WHERE total > 1
+          UNION ALL SELECT name, height, 0, '^', 0, place, false, '', '' FROM subroots),
+        climb(doc_id, leaf, name, tree, lvl, idx, h, siblings) AS (
+          SELECT doc_id, leaf, tree, tree, 0, idx, audited, '' FROM placed
+          UNION ALL SELECT doc_id, leaf, name, up, up_lvl, up_idx, CASE WHEN hashed THEN sha256(l || h || r) ELSE h END,
+            siblings || l || r FROM climb JOIN links USING (tree, lvl, idx)),
+        crown AS (SELECT lvl AS top, digest AS root FROM tops WHERE total = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM climb JOIN subroots USING (name) JOIN crown ON tree = '^' AND lvl = top""",
 }
