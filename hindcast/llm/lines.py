@@ -5,11 +5,18 @@ hashed once; a hash's low bits choose one of ``BANDS * ROWS`` bins and each
 bin keeps its smallest hash (one-permutation MinHash). Of long lines only the
 hashes below a mark that halves as the length doubles enter the bins, which
 changes no bin's smallest hash unless the bin would have held almost nothing.
-Lines that agree in a whole band are candidates. Every candidate is compared
-with the first line of its band by exact Jaccard similarity; lines linked so
-are one component, and after that only lines of one band that still lie in
-different components are compared with each other. So a band of n copies costs
-n comparisons, and no verified link between different components is lost.
+Lines that agree in a whole band are candidates. They are compared by exact
+Jaccard similarity in three rounds, of which each leaves out pairs that the
+links found before have already joined:
+
+1. every line with the first line of that band in which most of its bands agree,
+2. every line with the first lines of all its bands,
+3. lines of one band that still lie in different components with each other,
+   where counts of their distinct shingles in hash classes don't rule it out.
+
+So a band of n copies costs n comparisons, and no verified link between
+different components is lost. Texts meet for a comparison; their shingles are
+made, used and gone within the task and never written.
 """
 
 from __future__ import annotations
@@ -20,8 +27,9 @@ from hindcast.llm.components import connected
 from hindcast.llm.stored import Workspace
 
 SHINGLE, PERCENT = 8, 80
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 10, 4
 KEPT_HASHES = 3 * BANDS * ROWS
+CLASSES = 32
 BROADCAST_IDS = 1 << 20  # of 8 bytes
 
 
@@ -32,66 +40,97 @@ def lines_of(activity: DataFrame) -> DataFrame:
 
 
 def _normal(lines: DataFrame) -> DataFrame:
-    """Lines as (event_id, line_no, id, normal): compared without case and outer blanks; a blank one has an id of its own."""
+    """Lines as (event_id, line_no, normal): compared without case and outer blanks."""
     plain = F.replace(F.replace(F.col("line"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return (lines.select("event_id", "line_no", F.lower(F.trim(plain)).alias("normal"))
-            .select("event_id", "line_no", F.unhex(F.md5(F.when(F.length("normal") > 0, F.col("normal")).otherwise(
-                F.concat_ws("/", F.lit(" "), "event_id", "line_no")))).alias("id"), "normal"))
+    return lines.select("event_id", "line_no", F.lower(F.trim(plain)).alias("normal"))
 
 
-def _hash_at(wide: Column, i: Column) -> Column:
-    """The hash of the shingle at character ``i`` (from 0) of UTF-16 text, where a character has a fixed width."""
-    return F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * SHINGLE)))
+def _with_id(normal: DataFrame) -> DataFrame:
+    """The lines with an ``id`` of 16 bytes; a blank line has one of its own."""
+    return normal.withColumn("id", F.unhex(F.md5(F.when(F.length("normal") > 0, F.col("normal")).otherwise(
+        F.concat_ws("/", F.lit(" "), "event_id", "line_no")))))
 
 
-def _places(wide: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 2).cast("int") - SHINGLE, F.lit(0)))
+def _short() -> Column:
+    return F.xxhash64("normal").alias("short")
+
+
+def shingled(texts: DataFrame, text: Column, *keys: Column | str) -> DataFrame:
+    """(keys, h): a row for every shingle of ``text``; one shorter than a shingle is
+    one as a whole. UTF-16 gives every character a fixed width. The keys and the
+    encoded text are made once for a text, below the explode."""
+    wide = texts.select(*keys, F.encode(text, "UTF-16BE").alias("wide"))
+    names = [c for c in wide.columns if c != "wide"]
+    last = F.greatest((F.octet_length("wide") / 2).cast("int") - SHINGLE, F.lit(0))
+    return (wide.select(*names, "wide", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+            .select(*names, F.xxhash64(F.substring(F.col("wide"), 2 * F.col("i") + 1, F.lit(2 * SHINGLE))).alias("h")))
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """(short, bucket) of the distinct lines ``lines`` (id, normal), which are partitioned by id. A short id
-    only leads to candidates; two lines that had the same one would both be compared."""
-    wide = F.encode("normal", "UTF-16BE")
-    hashes = (lines.select("id", wide.alias("wide"))
-              .select("id", "wide", F.explode(_places(F.col("wide"))).alias("i"))
-              .select("id", (F.octet_length("wide") / (2 * KEPT_HASHES)).alias("times"),
-                      _hash_at(F.col("wide"), F.col("i")).alias("h")))
-    value = F.shiftrightunsigned("h", 16)  # 48 bits; the low ones choose the bin
-    # Long lines keep a half, a quarter, ... of the values.
-    mark = F.expr("shiftright(281474976710656L, cast(greatest(floor(log2(times)), 0) as int))")
-    binned = (hashes.select("id", value.alias("v"), mark.alias("mark"), F.expr(f"h & {BANDS * ROWS - 1}").alias("bin"))
+    """(short, bucket) of the distinct lines ``lines`` (short, normal), which are partitioned by ``short``. A short
+    id only leads to candidates; of two different lines that had the same one, only one would be signed."""
+    # Long lines keep a half, a quarter, ... of the 48-bit values; the low bits choose the bin.
+    times = f"octet_length(encode(normal, 'UTF-16BE')) / {2 * KEPT_HASHES}"
+    mark = F.expr(f"shiftright(281474976710656L, cast(greatest(floor(log2({times})), 0) as int))").alias("mark")
+    hashes = shingled(lines, F.col("normal"), "short", mark)
+    binned = (hashes.select("short", "mark", F.shiftrightunsigned("h", 16).alias("v"),
+                            F.expr(f"cast((h & 65535) % {BANDS * ROWS} as int)").alias("bin"))
               .filter("v < mark")
-              .select("id", "v", F.expr(f"cast(bin div {ROWS} as int)").alias("band"), (F.col("bin") % ROWS).alias("row")))
+              .select("short", "v", F.expr(f"cast(bin div {ROWS} as int)").alias("band"), (F.col("bin") % ROWS).alias("row")))
     least = [F.min(F.when(F.col("row") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)]
     names = [f"m{r}" for r in range(ROWS)]
-    return binned.groupBy("id", "band").agg(*least).select(
-        F.xxhash64("id").alias("short"), F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
-
+    return binned.groupBy("short", "band").agg(*least).select(
+        "short", F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(id, short, shingles): the distinct shingle hashes of each of ``lines``; a
-    line shorter than a shingle is one as a whole. The aggregate hands on the
-    encoded text as it is, where a projection would encode it for every shingle."""
-    wide = lines.groupBy("id", "short").agg(F.any_value(F.encode("normal", "UTF-16BE")).alias("wide"))
-    return wide.select("id", "short", F.array_distinct(F.transform(
-        _places(F.col("wide")), lambda i: _hash_at(F.col("wide"), i))).alias("shingles"))
 
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short ids, as pairs of full ids, whose shingle sets have the share of their union in common.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of full ids whose shingle sets have the share of their
-    union in common; ``pairs`` has short ids."""
-    sides = [sets.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    Both texts meet in one row, rows are dealt out by pair, and the shingles of a
+    pair are counted where they are made."""
+    sides = [texts.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("normal").alias(f"text_{x}"))
              for x in ("a", "b")]
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
-            .join(sides[0], "short_a").join(sides[1], "short_b")
-            .filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * PERCENT).select("a", "b"))
+    met = (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
+           .join(sides[0], "short_a").join(sides[1], "short_b").repartition("a", "b"))
+    each = met.select("a", "b", F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.col("text_a").alias("text")),
+        F.struct(F.lit(2).alias("side"), F.col("text_b").alias("text")))).alias("one"))
+    return (shingled(each, F.col("one.text"), "a", "b", F.col("one.side").alias("side"))
+            .groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+            .groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count(F.lit(1)).alias("all"))
+            .filter(F.col("both") * 100 >= F.col("all") * PERCENT).select("a", "b"))
+
+
+def class_counts(texts: DataFrame) -> DataFrame:
+    """(short, n, c0 ...): how many distinct shingles a line has, in all and by hash class."""
+    kind = F.pmod(F.shiftrightunsigned("h", 32), F.lit(CLASSES))
+    return (shingled(texts.repartition("short"), F.col("normal"), "short").groupBy("short", "h").agg(F.lit(1).alias("one"))
+            .groupBy("short").agg(F.count(F.lit(1)).alias("n"),
+                                  *(F.count_if(kind == c).cast("int").alias(f"c{c}") for c in range(CLASSES))))
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): lines of one bucket in different components, less those that cannot be
+    alike: they share at most the lesser of both counts in every class."""
+    labelled = (members.select("bucket", "short").join(roots, "short", "left")
+                .select("bucket", "short", F.coalesce("root", "short").alias("root")))
+    still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .filter("r0 <> r1").select("bucket"))
+    left = work.saved(labelled.join(still, "bucket", "left_semi"), "open")
+    counts = class_counts(texts.join(left.select("short").distinct(), "short", "left_semi"))
+    sized = work.saved(left.join(counts, "short"), "sized")
+    a = sized.select("bucket", *(F.col(c).alias(f"a_{c}") for c in sized.columns if c != "bucket"))
+    b = sized.select("bucket", *(F.col(c).alias(f"b_{c}") for c in sized.columns if c != "bucket"))
+    shared = sum((F.least(f"a_c{c}", f"b_c{c}") for c in range(1, CLASSES)), F.least("a_c0", "b_c0"))
+    return (a.join(b, "bucket").filter("a_short > b_short and a_root <> b_root")
+            .filter(shared * (100 + PERCENT) >= (F.col("a_n") + F.col("b_n")) * PERCENT)
+            .select(F.col("a_short").alias("a"), F.col("b_short").alias("b")).distinct())
 
 
 def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     """(id, root) of the different lines that lie in a component with others."""
     normal = normal.filter(F.length("normal") > 0)
-    distinct = normal.groupBy("id").agg(F.any_value("normal").alias("normal"))
+    distinct = normal.select(_short(), "normal").groupBy("short").agg(F.any_value("normal").alias("normal"))
     # A bucket holds different lines only, as copies are folded; its sort spills.
     bucket = Window.partitionBy("bucket")
     members = work.saved(bands(distinct).withColumns(
@@ -100,19 +139,29 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     shorts = work.saved(members.select("short").distinct(), "shorts")
     # Few lines have candidates; their ids are broadcast only while they are at most BROADCAST_IDS.
     wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
-    sets = work.saved(shingle_sets(normal.withColumn("short", F.xxhash64("id")).join(wanted, "short", "left_semi")), "sets")
-    pairs = work.saved(members.filter("short <> head").select(F.col("short").alias("a"), F.col("head").alias("b"))
-                       .distinct(), "pairs")
-    star = work.saved(verified(pairs, sets), "star")
-    roots = connected(star, work, "star-roots").select(F.xxhash64("id").alias("short"), F.xxhash64("root").alias("root"))
-    labelled = members.join(roots, "short", "left").select("bucket", "short", F.coalesce("root", "short").alias("root"))
-    still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .filter("r0 <> r1").select("bucket"))
-    left = work.saved(labelled.join(still, "bucket", "left_semi"), "open")
-    right = left.select("bucket", F.col("short").alias("b"), F.col("root").alias("root_b"))
-    rest = (left.withColumnRenamed("short", "a").join(right, "bucket").filter("a > b and root <> root_b")
-            .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    found = work.saved(verified(rest, sets), "rest")
+    texts = work.saved(_with_id(normal.withColumn("short", _short()).join(wanted, "short", "left_semi"))
+                       .groupBy("id", "short").agg(F.any_value("normal").alias("normal")), "texts")
+
+    def by_short(roots: DataFrame) -> DataFrame:
+        return roots.select(F.xxhash64("id").alias("key"), F.xxhash64("root").alias("root_key")).join(
+            keys, "key").select("short", F.col("root_key").alias("root"))
+
+    keys = work.saved(texts.select("short", F.xxhash64("id").alias("key")), "keys")
+    to_heads = work.saved(members.filter("short <> head").groupBy("short", "head").agg(F.count(F.lit(1)).alias("n")), "heads")
+    best = (to_heads.groupBy("short").agg(F.max(F.struct("n", "head")).alias("best"))
+            .select(F.col("short").alias("a"), F.col("best.head").alias("b")))
+    first = work.saved(similar(best, texts), "first")
+    roots = by_short(connected(first, work, "first-roots"))
+    heads = roots.select(F.col("short").alias("head"), F.col("root").alias("head_root"))
+    others = (to_heads.join(roots, "short", "left").join(heads, "head", "left")
+              .filter(F.coalesce("root", "short") != F.coalesce("head_root", "head"))
+              .select(F.col("short").alias("a"), F.col("head").alias("b"))
+              .join(best, ["a", "b"], "left_anti"))
+    star = first.unionByName(work.saved(similar(others, texts), "second"))
+    roots = by_short(connected(star, work, "star-roots"))
+    rest = open_pairs(members, roots, texts, work)
+    rest = rest.join(to_heads.select(F.col("short").alias("a"), F.col("head").alias("b")), ["a", "b"], "left_anti")
+    found = work.saved(similar(rest, texts), "rest")
     return connected(star.unionByName(found), work, "roots")
 
 
@@ -134,6 +183,7 @@ def line_components(activity: DataFrame) -> DataFrame:
     work = Workspace(activity.sparkSession, "lines")
     normal = _normal(lines_of(activity))
     roots = line_roots(normal, work)
+    normal = _with_id(normal)
     own = F.struct("event_id", "line_no")
     rooted = work.saved(normal.select("event_id", "line_no", "id").join(roots, "id", "left")
                         .select("event_id", "line_no", F.coalesce("root", "id").alias("root")), "rooted")
@@ -149,10 +199,19 @@ def dedup_lines(activity: DataFrame) -> DataFrame:
     """``activity`` with the lines that are not kept taken out of ``text``; all
     columns stay. An event whose lines all go is left out; one whose text was
     blank, empty or null before stays as it was."""
-    dropped = (line_components(activity).filter("not kept").groupBy(F.col("event_id").alias("_event"))
-               .agg(F.collect_set("line_no").alias("_dropped")))
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_dropped", i))
-    return (activity.join(dropped, F.col("event_id").eqNullSafe(F.col("_event")), "left")
-            .withColumn("_text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-            .filter(F.col("_dropped").isNull() | (F.length(F.trim("_text")) > 0))
-            .withColumn("text", F.col("_text")).drop("_event", "_dropped", "_text"))
+    event, gone, text = (_free(name, activity) for name in ("event", "gone", "text"))
+    dropped = (line_components(activity).filter("not kept").groupBy(F.col("event_id").alias(event))
+               .agg(F.collect_set("line_no").alias(gone)))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    return (activity.join(dropped, F.col("event_id").eqNullSafe(F.col(event)), "left")
+            .withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+            .filter(F.col(gone).isNull() | (F.length(F.trim(text)) > 0))
+            .withColumn("text", F.col(text)).drop(event, gone, text))
+
+
+def _free(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores before it as make it none of the columns of ``df``."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name = f"_{name}"
+    return name
