@@ -30,6 +30,7 @@ SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 10, 4
 KEPT_HASHES = 3 * BANDS * ROWS
 CLASSES = 32
+PAIRS_A_TASK = 1500
 BROADCAST_IDS = 1 << 20  # of 8 bytes
 
 
@@ -67,8 +68,8 @@ def shingled(texts: DataFrame, text: Column, *keys: Column | str) -> DataFrame:
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """(short, bucket) of the distinct lines ``lines`` (short, normal), which are partitioned by ``short``. A short
-    id only leads to candidates; of two different lines that had the same one, only one would be signed."""
+    """(short, bucket) of the distinct lines ``lines`` (short, normal), which are partitioned by ``short``.
+    Of two different lines that had the same short id one would not be compared, so never wrongly linked."""
     # Long lines keep a half, a quarter, ... of the 48-bit values; the low bits choose the bin.
     times = f"octet_length(encode(normal, 'UTF-16BE')) / {2 * KEPT_HASHES}"
     mark = F.expr(f"shiftright(281474976710656L, cast(greatest(floor(log2({times})), 0) as int))").alias("mark")
@@ -83,15 +84,18 @@ def bands(lines: DataFrame) -> DataFrame:
         "short", F.xxhash64("band", *(F.coalesce(n, F.lit(-1)) for n in names)).alias("bucket"))
 
 
+def _parts(df: DataFrame, rows: int) -> int:
+    """So many tasks that each has about ``rows`` of the written table ``df``: its shingles, far more than its bytes say, stay in memory."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of short ids, as pairs of full ids, whose shingle sets have the share of their union in common.
+    """The pairs (a, b) of the written table ``pairs`` whose shingle sets have the share of their union in common.
 
     Both texts meet in one row, rows are dealt out by pair, and the shingles of a
     pair are counted where they are made."""
-    sides = [texts.select(F.col("short").alias(f"short_{x}"), F.col("id").alias(x), F.col("normal").alias(f"text_{x}"))
-             for x in ("a", "b")]
-    met = (pairs.select(F.col("a").alias("short_a"), F.col("b").alias("short_b"))
-           .join(sides[0], "short_a").join(sides[1], "short_b").repartition("a", "b"))
+    sides = [texts.select(F.col("short").alias(x), F.col("normal").alias(f"text_{x}")) for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").repartition(_parts(pairs, PAIRS_A_TASK), "a", "b")
     each = met.select("a", "b", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("text_a").alias("text")),
         F.struct(F.lit(2).alias("side"), F.col("text_b").alias("text")))).alias("one"))
@@ -102,9 +106,10 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def class_counts(texts: DataFrame) -> DataFrame:
-    """(short, n, c0 ...): how many distinct shingles a line has, in all and by hash class."""
+    """(short, n, c0 ...) of the written table ``texts``: how many distinct shingles a line has, in all and by hash class."""
     kind = F.pmod(F.shiftrightunsigned("h", 32), F.lit(CLASSES))
-    return (shingled(texts.repartition("short"), F.col("normal"), "short").groupBy("short", "h").agg(F.lit(1).alias("one"))
+    dealt = texts.repartition(_parts(texts, 2 * PAIRS_A_TASK), "short")
+    return (shingled(dealt, F.col("normal"), "short").groupBy("short", "h").agg(F.lit(1).alias("one"))
             .groupBy("short").agg(F.count(F.lit(1)).alias("n"),
                                   *(F.count_if(kind == c).cast("int").alias(f"c{c}") for c in range(CLASSES))))
 
@@ -117,7 +122,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, work: Wor
     still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
              .filter("r0 <> r1").select("bucket"))
     left = work.saved(labelled.join(still, "bucket", "left_semi"), "open")
-    counts = class_counts(texts.join(left.select("short").distinct(), "short", "left_semi"))
+    counts = class_counts(work.saved(texts.join(left.select("short").distinct(), "short", "left_semi"), "open-texts"))
     sized = work.saved(left.join(counts, "short"), "sized")
     a = sized.select("bucket", *(F.col(c).alias(f"a_{c}") for c in sized.columns if c != "bucket"))
     b = sized.select("bucket", *(F.col(c).alias(f"b_{c}") for c in sized.columns if c != "bucket"))
@@ -139,30 +144,32 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     shorts = work.saved(members.select("short").distinct(), "shorts")
     # Few lines have candidates; their ids are broadcast only while they are at most BROADCAST_IDS.
     wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
-    texts = work.saved(_with_id(normal.withColumn("short", _short()).join(wanted, "short", "left_semi"))
-                       .groupBy("id", "short").agg(F.any_value("normal").alias("normal")), "texts")
+    texts = work.saved(normal.withColumn("short", _short()).join(wanted, "short", "left_semi")
+                       .groupBy("short").agg(F.any_value("normal").alias("normal")), "texts")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        return work.saved(similar(work.saved(pairs, f"{name}-pairs"), texts), name)
 
-    def by_short(roots: DataFrame) -> DataFrame:
-        return roots.select(F.xxhash64("id").alias("key"), F.xxhash64("root").alias("root_key")).join(
-            keys, "key").select("short", F.col("root_key").alias("root"))
+    def roots_of(links: DataFrame, name: str) -> DataFrame:
+        return connected(links, work, name).withColumnRenamed("id", "short")
 
-    keys = work.saved(texts.select("short", F.xxhash64("id").alias("key")), "keys")
     to_heads = work.saved(members.filter("short <> head").groupBy("short", "head").agg(F.count(F.lit(1)).alias("n")), "heads")
     best = (to_heads.groupBy("short").agg(F.max(F.struct("n", "head")).alias("best"))
             .select(F.col("short").alias("a"), F.col("best.head").alias("b")))
-    first = work.saved(similar(best, texts), "first")
-    roots = by_short(connected(first, work, "first-roots"))
+    first = compared(best, "first")
+    roots = roots_of(first, "first-roots")
     heads = roots.select(F.col("short").alias("head"), F.col("root").alias("head_root"))
     others = (to_heads.join(roots, "short", "left").join(heads, "head", "left")
               .filter(F.coalesce("root", "short") != F.coalesce("head_root", "head"))
               .select(F.col("short").alias("a"), F.col("head").alias("b"))
               .join(best, ["a", "b"], "left_anti"))
-    star = first.unionByName(work.saved(similar(others, texts), "second"))
-    roots = by_short(connected(star, work, "star-roots"))
-    rest = open_pairs(members, roots, texts, work)
-    rest = rest.join(to_heads.select(F.col("short").alias("a"), F.col("head").alias("b")), ["a", "b"], "left_anti")
-    found = work.saved(similar(rest, texts), "rest")
-    return connected(star.unionByName(found), work, "roots")
+    star = first.unionByName(compared(others, "second"))
+    rest = (open_pairs(members, roots_of(star, "star-roots"), texts, work)
+            .join(to_heads.select(F.col("short").alias("a"), F.col("head").alias("b")), ["a", "b"], "left_anti"))
+    roots = roots_of(star.unionByName(compared(rest, "rest")), "roots")
+    ids = texts.select("short", F.unhex(F.md5("normal")).alias("id"))
+    return (roots.join(ids, "short").select("id", F.col("root").alias("short"))
+            .join(ids.withColumnRenamed("id", "root_id"), "short").select("id", F.col("root_id").alias("root")))
 
 
 def line_components(activity: DataFrame) -> DataFrame:
