@@ -11,9 +11,9 @@ links found before have already joined:
 
 1. every line with the first line of that band in which most of its bands agree,
 2. every line with the first lines of all its bands,
-3. lines of one band that still lie in different components with each other,
-   where counts of their distinct shingles in hash classes don't rule it out.
+3. lines of one band that still lie in different components with each other.
 
+Bit tables of the shingles rule out most unlike pairs before their texts are read.
 So a band of n copies costs n comparisons, and no verified link between
 different components is lost. Texts meet for a comparison; their shingles are
 made, used and gone within the task and never written.
@@ -29,7 +29,7 @@ from hindcast.llm.stored import Workspace
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 10, 4
 KEPT_HASHES = 3 * BANDS * ROWS
-CLASSES = 32
+WORDS = 16  # of 64 bits
 PAIRS_A_TASK = 1500
 BROADCAST_IDS = 1 << 20  # of 8 bytes
 
@@ -89,46 +89,63 @@ def _parts(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of the written table ``pairs`` whose shingle sets have the share of their union in common.
+def with_bits(texts: DataFrame) -> DataFrame:
+    """The written table ``texts`` (short, normal) with ``places``, the number of shingles, repeats
+    included, and a bit table ``w0`` ... of ``WORDS`` words, in which every shingle sets a bit."""
+    dealt = texts.repartition(_parts(texts, 2 * PAIRS_A_TASK), "short")
+    hashes = shingled(dealt, F.col("normal"), "short").select(
+        "short", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"),
+        F.expr(f"cast(shiftrightunsigned(h, 32) % {WORDS} as int)").alias("word"))
+    parts = hashes.groupBy("short", "word").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+    tables = parts.groupBy("short").agg(F.sum("n").alias("places"), *(
+        F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), zero).alias(f"w{w}") for w in range(WORDS)))
+    return dealt.join(tables, "short")
+
+
+def _side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c not in keys))
+
+
+def may_be_alike() -> Column:
+    """False only where lines ``a`` and ``b`` cannot have the share in common: a bit that one alone sets is a shingle
+    that one alone has, and such shingles are at most (100 - PERCENT) / PERCENT of the shared ones."""
+    apart = sum((F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(1, WORDS)),
+                F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
+    return apart * PERCENT <= F.least("a_places", "b_places") * (100 - PERCENT)
+
 
-    Both texts meet in one row, rows are dealt out by pair, and the shingles of a
-    pair are counted where they are made."""
+def similar(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose shingle sets have the share of their union in common.
+
+    Pairs that the bit tables rule out go first. Then both texts meet in one row, rows
+    are dealt out by pair, and the shingles of a pair are counted where they are made."""
+    tables = texts.drop("normal")
+    left = work.saved(pairs.join(_side(tables.withColumnRenamed("short", "a"), "a", "a"), "a")
+                      .join(_side(tables.withColumnRenamed("short", "b"), "b", "b"), "b")
+                      .filter(may_be_alike()).select("a", "b"), f"{name}-pairs")
     sides = [texts.select(F.col("short").alias(x), F.col("normal").alias(f"text_{x}")) for x in ("a", "b")]
-    met = pairs.join(sides[0], "a").join(sides[1], "b").repartition(_parts(pairs, PAIRS_A_TASK), "a", "b")
+    met = left.join(sides[0], "a").join(sides[1], "b").repartition(_parts(left, PAIRS_A_TASK), "a", "b")
     each = met.select("a", "b", F.explode(F.array(
         F.struct(F.lit(1).alias("side"), F.col("text_a").alias("text")),
         F.struct(F.lit(2).alias("side"), F.col("text_b").alias("text")))).alias("one"))
-    return (shingled(each, F.col("one.text"), "a", "b", F.col("one.side").alias("side"))
-            .groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-            .groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count(F.lit(1)).alias("all"))
-            .filter(F.col("both") * 100 >= F.col("all") * PERCENT).select("a", "b"))
-
-
-def class_counts(texts: DataFrame) -> DataFrame:
-    """(short, n, c0 ...) of the written table ``texts``: how many distinct shingles a line has, in all and by hash class."""
-    kind = F.pmod(F.shiftrightunsigned("h", 32), F.lit(CLASSES))
-    dealt = texts.repartition(_parts(texts, 2 * PAIRS_A_TASK), "short")
-    return (shingled(dealt, F.col("normal"), "short").groupBy("short", "h").agg(F.lit(1).alias("one"))
-            .groupBy("short").agg(F.count(F.lit(1)).alias("n"),
-                                  *(F.count_if(kind == c).cast("int").alias(f"c{c}") for c in range(CLASSES))))
+    return work.saved(
+        shingled(each, F.col("one.text"), "a", "b", F.col("one.side").alias("side"))
+        .groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+        .groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("both"), F.count(F.lit(1)).alias("all"))
+        .filter(F.col("both") * 100 >= F.col("all") * PERCENT).select("a", "b"), name)
 
 
 def open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): lines of one bucket in different components, less those that cannot be
-    alike: they share at most the lesser of both counts in every class."""
+    """(a, b): lines of one bucket in different components, less those that their bit tables rule out."""
     labelled = (members.select("bucket", "short").join(roots, "short", "left")
                 .select("bucket", "short", F.coalesce("root", "short").alias("root")))
     still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
              .filter("r0 <> r1").select("bucket"))
-    left = work.saved(labelled.join(still, "bucket", "left_semi"), "open")
-    counts = class_counts(work.saved(texts.join(left.select("short").distinct(), "short", "left_semi"), "open-texts"))
-    sized = work.saved(left.join(counts, "short"), "sized")
-    a = sized.select("bucket", *(F.col(c).alias(f"a_{c}") for c in sized.columns if c != "bucket"))
-    b = sized.select("bucket", *(F.col(c).alias(f"b_{c}") for c in sized.columns if c != "bucket"))
-    shared = sum((F.least(f"a_c{c}", f"b_c{c}") for c in range(1, CLASSES)), F.least("a_c0", "b_c0"))
-    return (a.join(b, "bucket").filter("a_short > b_short and a_root <> b_root")
-            .filter(shared * (100 + PERCENT) >= (F.col("a_n") + F.col("b_n")) * PERCENT)
+    left = labelled.join(still, "bucket", "left_semi")
+    sized = work.saved(left.join(texts.drop("normal"), "short"), "open")
+    return (_side(sized, "a", "bucket").join(_side(sized, "b", "bucket"), "bucket")
+            .filter("a_short > b_short and a_root <> b_root").filter(may_be_alike())
             .select(F.col("a_short").alias("a"), F.col("b_short").alias("b")).distinct())
 
 
@@ -146,9 +163,7 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
     texts = work.saved(normal.withColumn("short", _short()).join(wanted, "short", "left_semi")
                        .groupBy("short").agg(F.any_value("normal").alias("normal")), "texts")
-
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        return work.saved(similar(work.saved(pairs, f"{name}-pairs"), texts), name)
+    texts = work.saved(with_bits(texts), "tables")
 
     def roots_of(links: DataFrame, name: str) -> DataFrame:
         return connected(links, work, name).withColumnRenamed("id", "short")
@@ -156,17 +171,17 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     to_heads = work.saved(members.filter("short <> head").groupBy("short", "head").agg(F.count(F.lit(1)).alias("n")), "heads")
     best = (to_heads.groupBy("short").agg(F.max(F.struct("n", "head")).alias("best"))
             .select(F.col("short").alias("a"), F.col("best.head").alias("b")))
-    first = compared(best, "first")
+    first = similar(best, texts, work, "first")
     roots = roots_of(first, "first-roots")
     heads = roots.select(F.col("short").alias("head"), F.col("root").alias("head_root"))
     others = (to_heads.join(roots, "short", "left").join(heads, "head", "left")
               .filter(F.coalesce("root", "short") != F.coalesce("head_root", "head"))
               .select(F.col("short").alias("a"), F.col("head").alias("b"))
               .join(best, ["a", "b"], "left_anti"))
-    star = first.unionByName(compared(others, "second"))
+    star = first.unionByName(similar(others, texts, work, "second"))
     rest = (open_pairs(members, roots_of(star, "star-roots"), texts, work)
             .join(to_heads.select(F.col("short").alias("a"), F.col("head").alias("b")), ["a", "b"], "left_anti"))
-    roots = roots_of(star.unionByName(compared(rest, "rest")), "roots")
+    roots = roots_of(star.unionByName(similar(rest, texts, work, "rest")), "roots")
     ids = texts.select("short", F.unhex(F.md5("normal")).alias("id"))
     return (roots.join(ids, "short").select("id", F.col("root").alias("short"))
             .join(ids.withColumnRenamed("id", "root_id"), "short").select("id", F.col("root_id").alias("root")))
