@@ -13,7 +13,7 @@ links found before have already joined:
 2. every line with the first lines of all its bands,
 3. lines of one band that still lie in different components with each other.
 
-Bit tables of the shingles rule out most unlike pairs before their texts are read.
+Parities of the shingle sets rule out most unlike pairs before their texts are read.
 So a band of n copies costs n comparisons, and no verified link between
 different components is lost. Texts meet for a comparison; their shingles are
 made, used and gone within the task and never written.
@@ -29,7 +29,7 @@ from hindcast.llm.stored import Workspace
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 10, 4
 KEPT_HASHES = 3 * BANDS * ROWS
-WORDS = 16  # of 64 bits
+WORDS = 32  # of 64 bits
 PAIRS_A_TASK = 1500
 BROADCAST_IDS = 1 << 20  # of 8 bytes
 
@@ -89,18 +89,18 @@ def _parts(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
-def with_bits(texts: DataFrame) -> DataFrame:
-    """The written table ``texts`` (short, normal) with ``places``, the number of shingles, repeats
-    included, and a bit table ``w0`` ... of ``WORDS`` words, in which every shingle sets a bit."""
-    dealt = texts.repartition(_parts(texts, 2 * PAIRS_A_TASK), "short")
-    hashes = shingled(dealt, F.col("normal"), "short").select(
+def with_parities(texts: DataFrame) -> DataFrame:
+    """The written table ``texts`` (short, normal) with ``size``, the number of different shingles, and
+    ``parities`` of ``WORDS`` words, of which every shingle turns over one bit."""
+    dealt = texts.repartition(_parts(texts, PAIRS_A_TASK), "short")
+    hashes = shingled(dealt, F.col("normal"), "short").distinct().select(
         "short", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"),
         F.expr(f"cast(shiftrightunsigned(h, 32) % {WORDS} as int)").alias("word"))
-    parts = hashes.groupBy("short", "word").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
+    parts = hashes.groupBy("short", "word").agg(F.bit_xor("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("long")
-    tables = parts.groupBy("short").agg(F.sum("n").alias("places"), *(
-        F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), zero).alias(f"w{w}") for w in range(WORDS)))
-    return dealt.join(tables, "short")
+    words = parts.groupBy("short").agg(F.sum("n").alias("size"), F.array(*(
+        F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), zero) for w in range(WORDS))).alias("parities"))
+    return dealt.join(words, "short")
 
 
 def _side(df: DataFrame, x: str, *keys: str) -> DataFrame:
@@ -108,21 +108,24 @@ def _side(df: DataFrame, x: str, *keys: str) -> DataFrame:
 
 
 def may_be_alike() -> Column:
-    """False only where lines ``a`` and ``b`` cannot have the share in common: a bit that one alone sets is a shingle
-    that one alone has, and such shingles are at most (100 - PERCENT) / PERCENT of the shared ones."""
-    apart = sum((F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(1, WORDS)),
-                F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    return apart * PERCENT <= F.least("a_places", "b_places") * (100 - PERCENT)
+    """False only where lines ``a`` and ``b`` cannot have the share in common. Shared shingles turn over the same bits,
+    so the bits that differ are at most the shingles that one alone has; these are, at the share p of the
+    union, at most (1 - p) / (1 + p) of both sizes."""
+    differ = F.zip_with("a_parities", "b_parities", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.reduce(differ, F.lit(0), lambda so_far, n: so_far + n)
+    both = F.col("a_size") + F.col("b_size")
+    return ((F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * PERCENT)
+            & (apart * (100 + PERCENT) <= both * (100 - PERCENT)))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose shingle sets have the share of their union in common.
 
-    Pairs that the bit tables rule out go first. Then both texts meet in one row, rows
+    Pairs that the parities rule out go first. Then both texts meet in one row, rows
     are dealt out by pair, and the shingles of a pair are counted where they are made."""
-    tables = texts.drop("normal")
-    left = work.saved(pairs.join(_side(tables.withColumnRenamed("short", "a"), "a", "a"), "a")
-                      .join(_side(tables.withColumnRenamed("short", "b"), "b", "b"), "b")
+    parities = texts.drop("normal")
+    left = work.saved(pairs.join(_side(parities.withColumnRenamed("short", "a"), "a", "a"), "a")
+                      .join(_side(parities.withColumnRenamed("short", "b"), "b", "b"), "b")
                       .filter(may_be_alike()).select("a", "b"), f"{name}-pairs")
     sides = [texts.select(F.col("short").alias(x), F.col("normal").alias(f"text_{x}")) for x in ("a", "b")]
     met = left.join(sides[0], "a").join(sides[1], "b").repartition(_parts(left, PAIRS_A_TASK), "a", "b")
@@ -137,7 +140,7 @@ def similar(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> D
 
 
 def open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """(a, b): lines of one bucket in different components, less those that their bit tables rule out."""
+    """(a, b): lines of one bucket in different components, less those that their parities rule out."""
     labelled = (members.select("bucket", "short").join(roots, "short", "left")
                 .select("bucket", "short", F.coalesce("root", "short").alias("root")))
     still = (labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -163,7 +166,7 @@ def line_roots(normal: DataFrame, work: Workspace) -> DataFrame:
     wanted = F.broadcast(shorts) if shorts.count() <= BROADCAST_IDS else shorts
     texts = work.saved(normal.withColumn("short", _short()).join(wanted, "short", "left_semi")
                        .groupBy("short").agg(F.any_value("normal").alias("normal")), "texts")
-    texts = work.saved(with_bits(texts), "tables")
+    texts = work.saved(with_parities(texts), "parities")
 
     def roots_of(links: DataFrame, name: str) -> DataFrame:
         return connected(links, work, name).withColumnRenamed("id", "short")
