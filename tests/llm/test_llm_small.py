@@ -280,6 +280,27 @@ def test_lines(arrow):
     assert line_components(events(arrow, [])).count() == 0
 
 
+def test_parities_rule_out_no_like_pair(arrow):
+    from hindcast.llm.lines import _side, may_be_alike, with_parities
+
+    rnd = random.Random(13)
+    texts = ["ab" * 60, "ab" * 70 + "c", "abcdefg", "abcdefgh"]
+    for words in (4, 30, 150, 1500):
+        for _ in range(4):
+            left = sentence(rnd, words).split()
+            texts.append(" ".join(left))
+            for share in (0.005, 0.01, 0.02, 0.05, 0.5):
+                texts.append(" ".join("zz" if rnd.random() < share else w for w in left))
+    sets = [{n[j:j + 8] for j in range(max(1, len(n) - 7))} for n in texts]
+    sized = with_parities(arrow.createDataFrame(list(enumerate(texts)), "short long, normal string")).drop("normal").cache()
+    assert {r["short"]: r["size"] for r in sized.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    pairs = arrow.createDataFrame([(a, b) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    left = {tuple(r) for r in pairs.join(_side(sized.withColumnRenamed("short", "a"), "a", "a"), "a")
+            .join(_side(sized.withColumnRenamed("short", "b"), "b", "b"), "b").filter(may_be_alike()).select("a", "b").collect()}
+    like = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(like) > 20 and like <= left
+    assert len(left) < 3 * len(like)
+
 def test_tiles():
     from hindcast.llm.tiling import tile
 
